@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(spark, _read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_dedup
 
@@ -28,12 +35,33 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_near_dedup": op4_near_dedup,
     "op6_sharding": op6_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op3_exact_top_k": """
+        WITH x AS (
+            SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i
+            FROM embeddings
+        ), bad AS (
+            SELECT DISTINCT vec_id FROM x WHERE e IS NULL OR NOT isfinite(e)
+        ), v AS (
+            SELECT vec_id, i, CAST(floor(e * 1024) AS BIGINT) AS e FROM x
+            WHERE vec_id NOT IN (SELECT vec_id FROM bad)
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.e * c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.i = c.i AND q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0 GROUP BY 1, 2
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
