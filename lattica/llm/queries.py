@@ -28,6 +28,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, _read(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import token_counts
+
+    return token_counts(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -38,6 +46,7 @@ QUERIES = {
     "op3_exact_top_k": op3_exact_top_k,
     "op4_near_dedup": op4_near_dedup,
     "op6_sharding": op6_sharding,
+    "op7_token_counts": op7_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
