@@ -22,6 +22,17 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark, _read(spark, sf_dir, "documents"))
 
 
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import materialise
+    from .scratch import Scratch
+
+    shards = Scratch(spark, "token-shards").path("shards")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return materialise(spark, _read(spark, sf_dir, "documents"), vocabulary, shards, end=50256)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -45,6 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_exact_top_k": op3_exact_top_k,
     "op4_near_dedup": op4_near_dedup,
+    "op5_token_binary": op5_token_binary,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
