@@ -22,12 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .filters import flagged, maybe_in
 from .scratch import Scratch
 
 #: Finest prefix the directory may reach: 2**12 cells bound its size.
 MAX_DEPTH = 12
-#: Bits of the filter that names keys with chains: 2**23 bits are 1 MB, whatever the input.
-FILTER_BITS = 23
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -74,21 +73,8 @@ def build_index(spark: SparkSession, docs: DataFrame, scratch: Scratch, capacity
         "keys", keyed.groupBy("h", "n").agg(F.count(F.lit(1)).alias("rows"))
     )
     entries = scratch.table("directory", directory(keys.select("h").distinct(), capacity))
-    slot = F.pmod(F.col("h"), F.lit(1 << FILTER_BITS)) + 1
-    chained = (
-        keys.filter("rows > 1")
-        .select(slot.alias("slot"))
-        .groupBy(F.bitmap_bucket_number("slot").alias("part"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    )
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    suspects = (
-        keyed.withColumn("part", F.bitmap_bucket_number(slot))
-        .withColumn("at", at)
-        .join(F.broadcast(chained), "part")  # at most 2**FILTER_BITS bits in all
-        .filter(F.getbit(byte, F.expr("cast(at % 8 as int)")) == 1)
-    )
+    chained = keys.filter("rows > 1").select("h")
+    suspects = maybe_in(keyed, F.col("h"), chained, F.col("h"))
     chains = suspects.groupBy("h", "n", "text").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
@@ -120,20 +106,22 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, capacity: int | None = Non
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns.
+
+    Texts whose key has no chain pass without a shuffle; only the others are joined.
+    """
     index = build_index(spark, docs, Scratch(spark, "exact-dedup"))
-    names = docs.columns
-    body = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        body,
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"),
         F.col("doc_id").alias("__id"),
         F.xxhash64(text).alias("h"),
-        F.octet_length(text).alias("n"),
-        F.sha2(text, 256).alias("sha"),
+        text.alias("__text"),
     )
-    dropped = index.select("h", "n", "sha", "keep_id")
-    at = (F.col("rows.h") == F.col("dropped.h")) & (F.col("rows.n") == F.col("dropped.n"))
-    at = at & (F.col("rows.sha") == F.col("dropped.sha"))
-    at = at & ~F.col("rows.__id").eqNullSafe(F.col("dropped.keep_id"))
-    return rows.alias("rows").join(dropped.alias("dropped"), at, "left_anti").select("__doc.*")
+    rows = flagged(rows, F.col("h"), index, F.col("h"), "__chained")
+    alone = rows.filter("not __chained").select("__doc.*")
+    rest = rows.filter("__chained").withColumn("n", F.octet_length("__text")).withColumn("sha", F.sha2("__text", 256)).drop("__text")
+    left, right = rest.alias("rest"), index.select("h", "n", "sha", "keep_id").alias("index")
+    at = [F.col(f"rest.{c}") == F.col(f"index.{c}") for c in ("h", "n", "sha")]
+    at = at[0] & at[1] & at[2] & ~F.col("rest.__id").eqNullSafe(F.col("index.keep_id"))
+    return alone.unionByName(left.join(right, at, "left_anti").select("__doc.*"))
