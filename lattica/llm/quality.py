@@ -9,8 +9,8 @@ Cholesky factors that are kept with the model. The amounts of shrinkage and the
 curve from density difference to score are chosen on a part of the labelled
 sample that the moments have not seen.
 
-Statistics are computed once for all documents and written; the fit takes a
-bounded sample of the labelled ones outside the held-out fold.
+The fit takes a bounded sample of the labelled documents outside the held-out
+fold; scoring is one pass over whole texts without a shuffle.
 
 Results for odd inputs: null, empty and blank texts have all statistics zero and
 a score like any other; without both classes among the labels every score is
@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labels import held_out, logistic
-from .scratch import Scratch
 from .words import mix, text_array, words
 
 STATISTICS = [
@@ -38,8 +37,8 @@ STATISTICS = [
     "stops", "lines", "again", "marked_words",
 ]
 #: Bound of the training sample, for each class.
-MOST = 20_000
-_SCHEMA = "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)
+MOST = 6_000
+_SCHEMA = ", ".join(f"{s} double" for s in STATISTICS)
 _KINDS = np.zeros((5, 256))
 _KINDS[0, [ord(c) for c in "!#$%&*@|~^+=<>{}[]\\/_"]] = 1
 _KINDS[1, 65:91] = 1
@@ -181,36 +180,48 @@ def fit(x: np.ndarray, y: np.ndarray) -> Discriminant:
     return best[1]
 
 
-def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+def learn(docs: DataFrame, labels: DataFrame) -> Discriminant:
+    """Fit on at most MOST labelled documents of each class outside the held-out fold."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = statistics(text_array(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in x.T]], names=["doc_id", *STATISTICS])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = Scratch(spark, "quality").table("statistics", rows.mapInArrow(measure, _SCHEMA))
+            x = statistics(text_array(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in x.T]], names=["doc_id", "y", *STATISTICS])
 
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64("doc_id", F.lit("sample"))
-    sample = [[], []]
-    for y in (0, 1):
-        some = known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(MOST)
-        found = measured.join(F.broadcast(some), "doc_id")  # at most MOST ids of 16 bytes
-        sample[y] = found.orderBy(order, "doc_id").limit(MOST).select(*STATISTICS).collect()
-    x = np.array([list(r) for rows in sample for r in rows]).reshape(-1, len(STATISTICS))
-    y = np.array([k for k in (0, 1) for _ in sample[k]])
-    shuffle = np.random.default_rng(1).permutation(len(y))
-    model = fit(x[shuffle], y[shuffle])
-    shared = spark.sparkContext.broadcast(model)  # a few matrices of the statistics
+    some = [known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(MOST) for y in (0, 1)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(some[0].union(some[1])), "doc_id")  # at most 2 * MOST ids of 16 bytes
+    found = rows.select("doc_id", "y", "text").mapInArrow(measure, "doc_id long, y int, " + _SCHEMA)
+    found = found.orderBy(order, "doc_id").limit(2 * MOST).collect()
+    x = np.array([list(r)[2:] for r in found]).reshape(-1, len(STATISTICS))
+    return fit(x, np.array([r.y for r in found]))
+
+
+def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    shared = spark.sparkContext.broadcast(learn(docs, labels))  # a few matrices of the statistics
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([c.to_numpy() for c in batch.columns[1:]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], names=["doc_id", "score"])
+            value = shared.value.score(statistics(text_array(batch.column(1))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], names=["doc_id", "score"])
 
-    out = measured.mapInArrow(score, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = rows.mapInArrow(score, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The documents that score at least the threshold, with all their columns, in one pass."""
+    shared = spark.sparkContext.broadcast(learn(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(statistics(text_array(batch.column(at)))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
