@@ -16,6 +16,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+#: Target shares of the domains that op2 and the pipeline mix to.
+LANGUAGE_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+
+
+def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled table of the mix: languages of the documents that have labels."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("domain")).join(known, "doc_id", "left_semi")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = _read(spark, sf_dir, "documents")
+    labelled = labelled_languages(docs, _read(spark, sf_dir, "labels"))
+    return mix(spark, docs, labelled, LANGUAGE_TARGETS)
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -59,6 +77,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .segmentation import segment
+
+    out = segment(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_pieces", "scores", "ids_crc32", "exact")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -67,12 +94,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_mixing": op2_mixing,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_near_dedup": op4_near_dedup,
     "op5_token_binary": op5_token_binary,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
+    "op9_segmentation": op9_segmentation,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
