@@ -15,11 +15,14 @@ A key that many rows share never expands into all its pairs:
 2. Every row meets only the leader (smallest id) of each of its keys; these
    stars are filtered by signature, confirmed on the full sets and joined into
    components (alternating star contraction, on tables in the shared folder).
-3. Rows of one key that are still in different components are the only pairs
-   left; they meet in a join whose condition holds the size and signature
-   tests, so what it returns are near pairs, not all pairs of the key. A
-   confirmed pair joins components as before. No linked pair within the
-   radius is skipped: it is either inside one component or tested here.
+3. Rows of one key have the same leader, so every pair left to test lies in one
+   leader's cluster, and only clusters that still hold several components matter.
+   A cluster is cut into blocks of bounded size and every pair of blocks is a task
+   of its own. It compares signatures of rows in different components, counts the
+   survivors' intersections on the full sets through posting lists, and returns
+   no more links than join its components (a spanning forest). A large group
+   of edits of one text therefore never expands into rows for its pairs, and no
+   pair within the radius is skipped.
 
 Results for odd inputs: null and blank texts have an empty set and link with
 nothing; a text with fewer words than a shingle is one shingle; a null
@@ -37,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .filters import maybe_in
 from .scratch import Scratch
 from .words import mix, text_array, words
 
@@ -162,10 +166,88 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    return maybe_in(texts, F.col("doc_id"), wanted, F.col("doc_id")).join(wanted, "doc_id", "left_semi")
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for lo, hi, code, row, sums in shingle_sets(text_array(batch.column(1)), width):
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                body = [code[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+                cols = [ids.slice(lo, hi - lo), pa.array(sums[0].view(np.int64)), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "seq_a", "codes"])
+
+    return run
+
+
+#: Shingles of a block of a cluster; a task holds two blocks.
+BLOCK_SHINGLES = 1 << 20
+
+
+def _joining_links(percent: int):
+    """Links that join the components of two blocks of a cluster, each tested on the full sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp, block, size = (table.column(c).to_numpy() for c in ("doc_id", "component", "block", "n_shingles"))
+        signs = np.column_stack([table.column(c).to_numpy().view(np.uint64) for c in PACKED])
+        codes = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("codes")]
+        sides = np.unique(block)
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
+        flat = np.concatenate(codes)
+        owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        n, found = len(ids), []
+        for x in range(n):
+            # later rows of the other block, or of the same one if there is no other
+            other = np.arange(x + 1, n)
+            if len(sides) > 1:
+                other = other[block[other] != block[x]]
+            other = other[comp[other] != comp[x]]
+            if not len(other):
+                continue
+            fit = (np.minimum(size[other], size[x]) * 100 >= np.maximum(size[other], size[x]) * percent)
+            other = other[fit]
+            y = signs[other] ^ signs[x]
+            for shift in (4, 2, 1):
+                y = y | (y >> np.uint64(shift))
+            far = np.bitwise_count(y & np.uint64(0x0101010101010101)).sum(1)
+            other = other[far <= RADIUS]
+            mine = find(int(comp[x]))
+            other = np.array([o for o in other if find(int(comp[o])) != mine], np.int64)
+            if not len(other):
+                continue
+            if len(other) <= 16:
+                both = np.array([len(np.intersect1d(codes[x], codes[o], assume_unique=True)) for o in other])
+            else:
+                lo, hi = np.searchsorted(flat, codes[x], "left"), np.searchsorted(flat, codes[x], "right")
+                shift = np.cumsum(hi - lo) - (hi - lo)
+                at = np.arange(int((hi - lo).sum())) + np.repeat(lo - shift, hi - lo)
+                both = np.bincount(owner[at], minlength=n)[other]
+            for o in other[100 * both >= percent * (size[x] + size[other] - both)]:
+                p, q = find(int(comp[x])), find(int(comp[o]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    found.append((int(ids[x]), int(ids[o])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = scratch.table(f"{name}-texts", texts.join(wanted, "doc_id", "left_semi"))
+    some = scratch.table(f"{name}-texts", _texts_of(texts, wanted))
     both = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     links = both.select("a", "b", "x", "y").mapInArrow(_confirm(width, percent), "a long, b long")
@@ -227,26 +309,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 3, percent: in
     links = confirmed(stars, texts, width, percent, scratch, "stars")
     first = scratch.table("first", components(links, scratch, "first-cc"))
 
-    # keys whose rows are still in more than one component
+    # leaders whose clusters still hold more than one component
     label = F.coalesce("component", "doc_id").alias("component")
-    placed = shared.join(first, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", label)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    left = placed.join(mixed.select("key"), "key").join(reps.select("doc_id", "n_shingles", *PACKED), "doc_id")
-    left = scratch.table("mixed", left)
-
-    def end(p: str) -> DataFrame:
-        return left.select("key", *[F.col(c).alias(f"{p}{c}") for c in ("doc_id", "component", "n_shingles", *PACKED)])
-
-    apart = end("a_").join(end("b_"), "key").where((F.col("a_component") < F.col("b_component")) & near)
-    apart = apart.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
-    rest = scratch.table("rest", apart.join(stars, ["a", "b"], "left_anti"))
-    more = confirmed(rest, texts, width, percent, scratch, "rest")
+    placed = shared.select("a", "doc_id").distinct().join(first, F.col("doc_id") == F.col("id"), "left").select("a", "doc_id", label)
+    placed = placed.join(reps.select("doc_id", "seq_a", "n_shingles", *PACKED), "doc_id")
+    mixed = placed.groupBy("a").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks")
+    )
+    mixed = mixed.filter("lo < hi").select("a", "blocks")
+    left = scratch.table("mixed", placed.join(mixed, "a"))
+    sets = _texts_of(texts, left.select("doc_id").distinct()).mapInArrow(_sets(width), "doc_id long, seq_a long, codes binary")
+    sets = scratch.table("sets", sets.dropDuplicates(["doc_id", "seq_a"]))
+    split = left.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    split = split.withColumn("other", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
+    split = split.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    tasks = split.join(sets, ["doc_id", "seq_a"]).select("a", "i", "j", "doc_id", "component", "block", "n_shingles", *PACKED, "codes")
+    more = scratch.table("more", tasks.groupBy("a", "i", "j").applyInArrow(_joining_links(percent), "a long, b long"))
     joined = links.union(more)
     # a row that repeats an id joins its texts' classes; copies join their representative
     twins = usable.join(reps.filter("copies > 1").select("seq_a", "seq_b", F.col("doc_id").alias("rep")), ["seq_a", "seq_b"])
     twins = twins.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = scratch.table("final", components(joined.union(twins), scratch, "final-cc"))
-    scratch.drop("shared", "mixed", "stars", "rest", "first")
+    scratch.drop("shared", "mixed", "sets", "stars", "first")
 
     out = signed.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
