@@ -91,9 +91,10 @@ def bucket_auto(df: DataFrame, spec: dict[str, Any], order: Order | None) -> Dat
     top = counts.agg(F.max(F.struct("__v")).alias("v")).first().v[0]
     edges.append(_granule(top, grain, up=True) if grain else top)
     counts.unpersist()
+    kind = T.DoubleType() if grain else e.type
     out: Column | None = None
     for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-        pair = F.struct(F.lit(lo).alias("min"), F.lit(hi).alias("max"))
+        pair = F.struct(F.lit(lo).cast(kind).alias("min"), F.lit(hi).cast(kind).alias("max"))
         inside = F.col("__v") < F.lit(hi) if i < len(edges) - 2 else F.lit(True)
         if lo is None or hi is None:
             inside = F.col("__v").isNull() | inside

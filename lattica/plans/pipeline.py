@@ -54,7 +54,7 @@ class Pipeline:
     """Runs pipelines over named collections."""
 
     def __init__(self, spark: SparkSession, collections: Collections | None = None, save: Callable[[str, DataFrame], None] | None = None, merge=None):
-        self.spark, self.collections, self.save, self.merge = spark, collections or {}, save, merge
+        self.spark, self.collections, self.save, self.merge = spark, {} if collections is None else collections, save, merge
 
     def get(self, name: str) -> DataFrame:
         try:
