@@ -99,11 +99,11 @@ def fit(sample: list[tuple[str, int]], n: int) -> Domains:
     return m
 
 
-def _rates(p: np.ndarray, pulls: np.ndarray) -> np.ndarray:
-    """Rates after the steps so far, from 1: r = max(0, r + p . pull) for each."""
+def _rates(p: np.ndarray, pulls: np.ndarray, least: float) -> np.ndarray:
+    """Rates after the steps so far, from 1: r = max(least, r + p . pull) for each."""
     r = np.ones(len(p))
     for pull in pulls:
-        r = np.maximum(0, r + p @ pull)
+        r = np.maximum(least, r + p @ pull)
     return r
 
 
@@ -140,14 +140,14 @@ def scored(docs: DataFrame, shared, names: list[str], scratch: Scratch) -> DataF
     return scratch.table("scored", texts.mapInArrow(run, "doc_id long, tokens long, posterior array<double>"))
 
 
-def _sums(table: DataFrame, pulls: np.ndarray, d: int) -> np.ndarray:
+def _sums(table: DataFrame, pulls: np.ndarray, d: int, least: float) -> np.ndarray:
     """Expected tokens of each domain at the current rates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(d)
         for batch in batches:
             p = batch.column(1).flatten().to_numpy().reshape(-1, d)
-            total += (batch.column(0).to_numpy() * _rates(p, pulls)) @ p
+            total += (batch.column(0).to_numpy() * _rates(p, pulls, least)) @ p
         yield pa.RecordBatch.from_pydict({"d": np.arange(d), "v": total})
 
     parts = table.select("tokens", "posterior").mapInArrow(run, "d long, v double")
@@ -157,10 +157,13 @@ def _sums(table: DataFrame, pulls: np.ndarray, d: int) -> np.ndarray:
     return out
 
 
-def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, total: float | str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(steps, targets, totals reached); ``total`` tokens, "same" as now, or "grow" so that no domain shrinks."""
+def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, total: float | str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(steps, targets, totals reached); ``total`` tokens, "same" as now, or "grow" so that no domain shrinks.
+
+    No rate goes below ``least``.
+    """
     d = len(names)
-    now = _sums(table, np.zeros((0, d)), d)
+    now = _sums(table, np.zeros((0, d)), d, least)
     if not now.sum():
         return np.zeros((0, d)), now, now
     weights = weights / weights.sum()
@@ -178,7 +181,7 @@ def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, total: fl
             break
         # the scaled problem's curvature is at most 1, so a step of 1 descends
         pulls = np.vstack([pulls, residual])
-        reached = _sums(table, pulls, d)
+        reached = _sums(table, pulls, d, least)
     return pulls, target, reached
 
 
@@ -190,14 +193,14 @@ def mix(
     scratch = Scratch(spark, "mixing")
     shared = spark.sparkContext.broadcast(learn(docs, labelled, names))  # BINS x domains numbers
     table = scored(docs, shared, names, scratch)
-    pulls, *_ = fit_rates(table, names, np.array([targets[n] for n in names], float), total)
+    pulls, *_ = fit_rates(table, names, np.array([targets[n] for n in names], float), total, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(2).flatten().to_numpy().reshape(-1, len(names))
             domain = pa.array([names[i] for i in p.argmax(1)], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), domain, batch.column(1), batch.column(2), pa.array(_rates(p, pulls))],
+                [batch.column(0), domain, batch.column(1), batch.column(2), pa.array(_rates(p, pulls, 0.0))],
                 names=["doc_id", "domain", "tokens", "posterior", "rate"],
             )
 
@@ -215,20 +218,22 @@ def copies(doc_id: Column, rate: Column) -> Column:
 def resample(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | str = "grow") -> DataFrame:
     """The documents with all their columns, as often as their rates say.
 
-    Rates are worked out again beside each text, so nothing is joined.
+    Where the total grows no rate goes below 1, so no document is lost. Rates are
+    worked out again beside each text, so nothing is joined.
     """
+    least = 1.0 if total == "grow" else 0.0
     names = sorted(targets)
     shared = spark.sparkContext.broadcast(learn(docs, labelled, names))
     scratch = Scratch(spark, "mixing")
     table = scored(docs, shared, names, scratch)
-    pulls, *_ = fit_rates(table, names, np.array([targets[n] for n in names], float), total)
+    pulls, *_ = fit_rates(table, names, np.array([targets[n] for n in names], float), total, least)
     scratch.drop("scored")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            rate = _rates(m.posterior(m.likelihood(text_array(batch.column(at)))), pulls)
+            rate = _rates(m.posterior(m.likelihood(text_array(batch.column(at)))), pulls, least)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "__rate"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())])
