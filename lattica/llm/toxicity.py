@@ -155,7 +155,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         ordinary = b"".join(windows)[:ORDINARY_BYTES] or b" "
     hard: list[bytes] = []
     probe = _windows(learn[0][:1000], 200)
-    for _ in range(3):
+    for _ in range(3 if probe else 0):
         tools = Model(toxic, b"".join(hard) + ordinary, None).tools()
         at = np.concatenate([[0], np.cumsum([len(w) for w in probe])]).astype(np.uint64)
         spans = np.stack([at[:-1], np.diff(at)], 1).astype(np.uint64).tobytes()
