@@ -126,6 +126,25 @@ ORACLES = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op4_near_dedup": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), l AS (
+            SELECT doc_id, CASE WHEN len(w) >= 3
+                    THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+            FROM t
+        ), u AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM l),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.s = b.s AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+        reach AS (SELECT doc_id, doc_id AS other FROM l UNION SELECT r.doc_id, k.b FROM reach r JOIN links k ON r.other = k.a),
+        c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM l JOIN c USING (doc_id)
+    """,
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
