@@ -41,7 +41,7 @@ LEVEL = 6
 GRAMS, PURE = (5, 7, 9), 0.75
 #: Bounds of the training sample (documents) and of the dictionaries' parts (bytes).
 MOST_TOXIC, MOST_ORDINARY = 1500, 3000
-ORDINARY_BYTES, TOXIC_BYTES = 4096, 1024
+ORDINARY_BYTES, TOXIC_BYTES = 16384, 1024
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
