@@ -16,7 +16,9 @@ The forward pass also keeps the second best score of each prefix, so only the
 segments that can matter to a text's list are searched.
 
 Scores are the model's own, if they are log probabilities. A model of merges has
-merge ranks instead; they are read as Zipf frequencies, -log(2 + rank).
+merge ranks instead; they are read as Zipf frequencies, -log(2 + rank). Sums are
+kept in whole millionths, so equal paths are exactly equal and the search goes
+down one of them instead of through all.
 Characters that are no piece, and a literal mark in a text, are spelled in byte
 pieces at a cost below any piece's. Decoding gives back the text's exact bytes.
 
@@ -42,8 +44,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Distinct segments kept by a worker before the cache starts anew.
-CACHE_SEGMENTS = 300_000
+UNIT = 1_000_000
+_NEVER = -(1 << 62)
+#: Distinct segments in either half of a worker's cache.
+CACHE_SEGMENTS = 250_000
 _worker: dict[str, "Segmenter"] = {}
 
 
@@ -53,11 +57,11 @@ class Pieces:
 
     name: str
     pieces: list[str]
-    score: dict[str, tuple[int, float]]
+    score: dict[str, tuple[int, int]]  # id and score in millionths
     byte_ids: list[int]
-    unknown: float
-    longest: int = 0
+    unknown: int
     joined: set = field(default_factory=set)
+    table: dict[str, tuple[int, int] | None] = field(default_factory=dict)  # every prefix of a piece; None if it is none itself
 
     @classmethod
     def read(cls, path: str) -> "Pieces":
@@ -77,8 +81,12 @@ class Pieces:
 
     @classmethod
     def of(cls, name: str, pieces: list[str], score: dict[str, tuple[int, float]], byte_ids: list[int]) -> "Pieces":
-        out = cls(name, pieces, score, byte_ids, min((s for _, s in score.values()), default=0.0) - 10)
-        out.longest = max(map(len, score), default=1)
+        exact = {p: (i, round(s * UNIT)) for p, (i, s) in score.items()}
+        out = cls(name, pieces, exact, byte_ids, min((s for _, s in exact.values()), default=0) - 10 * UNIT)
+        for p in exact:
+            for n in range(1, len(p)):
+                out.table.setdefault(p[:n], None)
+        out.table |= exact
         out.joined = {c for p in score if len(p) > 1 for c in p}
         if any(MARK in p.lstrip(MARK) for p in score):
             raise ValueError("pieces that hold a mark after another character are not supported")
@@ -88,8 +96,9 @@ class Pieces:
 class Segmenter:
     def __init__(self, vocabulary: Pieces):
         self.v = vocabulary
-        self.known: dict[str, tuple[float, tuple[int, ...], float]] = {}
-        self.listed: dict[tuple[str, int], list[float]] = {}
+        self.known: dict[str, tuple[int, tuple[int, ...], int]] = {}
+        self.older: dict[str, tuple[int, tuple[int, ...], int]] = {}
+        self.listed: dict[tuple[str, int], list[int]] = {}
         body = vocabulary.joined - {MARK}
         table = [b""] * len(vocabulary.pieces)
         for p, (i, _) in vocabulary.score.items():
@@ -103,51 +112,58 @@ class Segmenter:
         inside = "".join(re.escape(c) for c in sorted(body))
         self.cut = re.compile(f"{MARK}*[{inside}]+|{MARK}+|." if inside else f"{MARK}+|.", re.DOTALL)
 
-    def best(self, text: str) -> tuple[float, tuple[int, ...], float]:
+    def best(self, text: str) -> tuple[int, tuple[int, ...], int]:
         """(score, ids, loss of the next best path) of one segment; marks are blanks here."""
-        found = self.known.get(text)
+        found = self.known.get(text) or self.older.get(text)
         if found is None:
             found = self._forward(text)
-            if len(text) <= 64:  # longer ones are seldom met again
-                if len(self.known) >= CACHE_SEGMENTS:
-                    self.known.clear()
-                self.known[text] = found
+        if len(text) <= 64:  # longer ones are seldom met again
+            if len(self.known) >= CACHE_SEGMENTS:  # what is met again soon moves back from the older half
+                self.older, self.known = self.known, {}
+            self.known[text] = found
         return found
 
-    def _forward(self, text: str) -> tuple[float, tuple[int, ...], float]:
+    def _forward(self, text: str) -> tuple[int, tuple[int, ...], int]:
         """Viterbi over the two best scores of each prefix."""
-        get, longest, size = self.v.score.get, self.v.longest, len(text)
-        first, second = [0.0], [-math.inf]
-        came: list = [None]
-        for e in range(1, size + 1):
-            one = two = -math.inf
-            step = None
-            for s in range(e - longest if e > longest else 0, e):
-                hit = get(text[s:e])
-                if hit is not None:
-                    x = first[s] + hit[1]
-                    if x > one:
-                        one, two, step = x, max(one, second[s] + hit[1]), (s, hit[0])
-                    elif x > two:
-                        two = x
-                elif s == e - 1:
-                    x = first[s] + self.v.unknown
-                    if x > one:
-                        one, two, step = x, max(one, second[s] + self.v.unknown), (s, -1)
-                    elif x > two:
-                        two = x
-            first.append(one)
-            second.append(two)
-            came.append(step)
+        get, size = self.v.table.get, len(text)
+        first, second = [_NEVER] * (size + 1), [_NEVER] * (size + 1)
+        came: list = [None] * (size + 1)
+        first[0] = 0
+        for s in range(size):
+            one, two = first[s], second[s]
+            hit = get(text[s])
+            if not hit:  # no piece: spelled in bytes
+                cost, e = self.v.unknown, s + 1
+                if one + cost > first[e]:
+                    second[e], first[e], came[e] = max(first[e], two + cost), one + cost, (s, -1)
+                elif one + cost > second[e]:
+                    second[e] = one + cost
+            for e in range(s + 1, size + 1):
+                hit = get(text[s:e], 0)
+                if hit:
+                    x = one + hit[1]
+                    if x > first[e]:
+                        y = two + hit[1]
+                        second[e] = first[e] if first[e] > y else y
+                        first[e] = x
+                        came[e] = (s, hit[0])
+                    elif x > second[e]:
+                        second[e] = x
+                elif hit == 0:
+                    break
         ids: list[int] = []
         e = size
         while e:
             s, i = came[e]
-            ids += [i] if i >= 0 else [self.v.byte_ids[b] for b in reversed(text[s:e].encode())]
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids += [self.v.byte_ids[b] for b in reversed(text[s:e].encode())]
             e = s
-        return first[size], tuple(reversed(ids)), first[size] - second[size]
+        ids.reverse()
+        return first[size], tuple(ids), first[size] - second[size]
 
-    def paths(self, text: str, n: int) -> list[float]:
+    def paths(self, text: str, n: int) -> list[int]:
         """Scores of the n best paths of one segment, best first."""
         found = self.listed.get((text, n))
         if found is None:
@@ -158,24 +174,27 @@ class Segmenter:
                 self.listed[(text, n)] = found
         return found
 
-    def search(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def search(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n best (score, ids) of one segment: forward Viterbi, backward A-star."""
-        score, longest, size = self.v.score, self.v.longest, len(text)
-        alpha = [0.0] + [-math.inf] * size
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
-        for e in range(1, size + 1):
-            edges = into[e]
-            for s in range(max(0, e - longest), e):
-                hit = score.get(text[s:e])
-                if hit is not None:
-                    edges.append((s, hit[1], (hit[0],)))
-            if text[e - 1] not in score:
-                edges.append((e - 1, self.v.unknown, tuple(self.v.byte_ids[b] for b in text[e - 1].encode())))
-            alpha[e] = max(alpha[s] + x for s, x, _ in edges)
+        get, size = self.v.table.get, len(text)
+        alpha = [0] + [_NEVER] * size
+        into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
+        for s in range(size):
+            if not get(text[s]):
+                into[s + 1].append((s, self.v.unknown, tuple(self.v.byte_ids[b] for b in text[s].encode())))
+                alpha[s + 1] = max(alpha[s + 1], alpha[s] + self.v.unknown)
+            for e in range(s + 1, size + 1):
+                hit = get(text[s:e], 0)
+                if hit:
+                    into[e].append((s, hit[1], (hit[0],)))
+                    alpha[e] = max(alpha[e], alpha[s] + hit[1])
+                elif hit == 0:
+                    break
         out, turn = [], 0
-        queue: list = [(-alpha[size], 0, size, 0.0, None)]
+        # of equal estimates the one nearest the start goes first: ties are followed to the end, not fanned out
+        queue: list = [(-alpha[size], size, 0, 0, None)]
         while queue and len(out) < n:
-            _, _, at, gone, tail = heapq.heappop(queue)
+            _, at, _, gone, tail = heapq.heappop(queue)
             if not at:
                 ids: list[int] = []
                 while tail is not None:
@@ -185,7 +204,7 @@ class Segmenter:
                 continue
             for s, cost, ids in into[at]:
                 turn += 1
-                heapq.heappush(queue, (-(gone + cost + alpha[s]), turn, s, gone + cost, (ids, tail)))
+                heapq.heappush(queue, (-(gone + cost + alpha[s]), s, turn, gone + cost, (ids, tail)))
         return out
 
     def segments(self, text: str) -> list[str | None]:
@@ -201,24 +220,23 @@ class Segmenter:
 
     def encode(self, text: str, n: int) -> tuple[list[int], list[float]]:
         """(ids of the best path, scores of the n best paths)."""
-        total, ids = 0.0, []
-        losses: list[tuple[float, str]] = []
-        get = self.known.get
+        total, ids = 0, []
+        losses: list[tuple[int, str]] = []
         for segment in self.segments(text):
             if segment is None:
                 total += self.v.unknown
                 ids += [self.v.byte_ids[b] for b in MARK.encode()]
                 continue
-            score, path, loss = get(segment) or self.best(segment)
+            score, path, loss = self.known.get(segment) or self.best(segment)
             total += score
             ids += path
-            if loss < math.inf:
+            if loss < 1 << 60:
                 losses.append((loss, segment))
-        sums = [0.0]
+        sums = [0]
         for _, segment in heapq.nsmallest(n - 1, losses):
             best = self.paths(segment, n)
             sums = heapq.nsmallest(n, [a + best[0] - s for a in sums for s in best])
-        return ids, [total - s for s in sums]
+        return ids, [(total - s) / UNIT for s in sums]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The exact bytes that the ids spell, without the blank put before the text."""
