@@ -47,7 +47,7 @@ MARK = "▁"
 UNIT = 1_000_000
 _NEVER = -(1 << 62)
 #: Distinct segments in either half of a worker's cache.
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 100_000
 _worker: dict[str, "Segmenter"] = {}
 
 
