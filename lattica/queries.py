@@ -305,6 +305,11 @@ _pipe("unwind_index", "documents", [
 ], """
     SELECT doc_id, i - 1 AS i, CAST(length(l) AS INTEGER) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))[1:3]) AS l, generate_subscripts(string_split(text, chr(10))[1:3], 1) AS i FROM documents)""")
 
+_pipe("unwind_index_all", "documents", [
+    {"$project": {"doc_id": 1, "lines": {"$split": ["$text", "\n"]}}}, {"$unwind": {"path": "$lines", "includeArrayIndex": "i"}}, {"$project": {"doc_id": 1, "i": 1, "n": {"$strLenCP": "$lines"}}},
+], """
+    SELECT doc_id, i - 1 AS i, CAST(length(l) AS INTEGER) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""")
+
 _pipe("regex_pages", "pages", [
     {"$project": {"page_id": 1, "host": {"$let": {"vars": {"m": {"$regexFind": {"input": "$url", "regex": "https?://([^/]+)/"}}}, "in": {"$arrayElemAt": ["$$m.captures", 0]}}},
                   "links": {"$size": {"$regexFindAll": {"input": "$html", "regex": "<a href="}}}}},
