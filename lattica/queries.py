@@ -247,6 +247,15 @@ _pipe("densify_daily", "events", [
     days AS (SELECT unnest(generate_series((SELECT min(d) FROM g)::TIMESTAMP, (SELECT max(d) FROM g)::TIMESTAMP, INTERVAL 1 DAY)) AS d)
     SELECT u, strftime(days.d, '%Y-%m-%d') AS d, coalesce(n, 0) AS n FROM (SELECT DISTINCT u FROM g) CROSS JOIN days LEFT JOIN g USING (u, d)""")
 
+_pipe("densify_daily_all", "events", [
+    {"$match": {"event_type": "purchase"}}, {"$group": {"_id": {"u": "$user_id", "d": {"$dateTrunc": {"date": "$ts", "unit": "day"}}}, "n": {"$sum": 1}}},
+    {"$project": {"_id": 0, "u": "$_id.u", "d": "$_id.d", "n": 1}}, {"$densify": {"field": "d", "partitionByFields": ["u"], "range": {"step": 1, "unit": "day", "bounds": "full"}}},
+    {"$fill": {"output": {"n": {"value": 0}}}}, {"$project": {"u": 1, "n": 1, "d": {"$dateToString": {"date": "$d", "format": "%Y-%m-%d"}}}},
+], """
+    WITH g AS (SELECT user_id AS u, date_trunc('day', ts) AS d, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
+    days AS (SELECT unnest(generate_series((SELECT min(d) FROM g)::TIMESTAMP, (SELECT max(d) FROM g)::TIMESTAMP, INTERVAL 1 DAY)) AS d)
+    SELECT u, strftime(days.d, '%Y-%m-%d') AS d, coalesce(n, 0) AS n FROM (SELECT DISTINCT u FROM g) CROSS JOIN days LEFT JOIN g USING (u, d)""")
+
 # expressions
 
 _pipe("expr_dates", "orders", [
@@ -397,6 +406,23 @@ _add("cdc_apply", """
     SELECT c_custkey AS _id, c_name, round(CASE WHEN c_custkey % 8 = 0 THEN c_acctbal + 5 ELSE c_acctbal END, 2) AS bal FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 16 <> 0""",
     lambda t: apply_events(t["customer"].select(F.col("c_custkey").alias("_id"), "c_name", "c_acctbal").limit(0), _change_events(t)).select("_id", "c_name", F.round("c_acctbal", 2).alias("bal")))
 
+def _all_changes(t: Tables) -> DataFrame:
+    """Every customer arrives again under a new id; every old row is updated, those in debt go, and builders among these come back."""
+    c = t["customer"]
+    doc = F.struct("c_name", "c_acctbal")
+    event = lambda rows, op, ts, _id, o: rows.select(F.lit(op).alias("op"), F.lit(ts).cast("long").alias("ts"), _id.alias("_id"), o.alias("o"))
+    changed = F.struct(F.lit(None).cast("string").alias("c_name"), (F.col("c_acctbal") + 5).alias("c_acctbal"))
+    none = F.lit(None).cast(c.select(doc.alias("o")).schema["o"].dataType)
+    debt, key = c.filter("c_acctbal < 0"), F.col("c_custkey")
+    ins, upd, rem = event(c, "i", 1, -1 - key, doc), event(c, "u", 2, key, changed), event(debt, "d", 3, key, none)
+    return ins.union(upd).union(rem).union(event(debt.filter("c_mktsegment = 'BUILDING'"), "i", 4, key, doc))
+
+
+_add("cdc_apply_all", """
+    SELECT c_custkey AS _id, c_name, round(CASE WHEN c_acctbal < 0 THEN c_acctbal ELSE c_acctbal + 5 END, 2) AS bal FROM customer WHERE c_acctbal >= 0 OR c_mktsegment = 'BUILDING'
+    UNION ALL SELECT -1 - c_custkey, c_name, round(c_acctbal, 2) FROM customer""",
+    lambda t: apply_events(t["customer"].select(F.col("c_custkey").alias("_id"), "c_name", "c_acctbal"), _all_changes(t)).select("_id", "c_name", F.round("c_acctbal", 2).alias("bal")))
+
 _add("stream_windows", """
     SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS h, event_type, count(*) AS n FROM events GROUP BY 1, 2""",
     lambda t: windowed(t["events"], "ts", "1 hour", ["event_type"], n=F.count(F.lit(1))).select(F.date_format("start", "yyyy-MM-dd HH").alias("h"), "event_type", "n"))
