@@ -49,7 +49,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, with its n-best scores and whether they decode to its bytes."""
+    """Piece ids of the n best segmentations of every text, with scores and whether they decode to its bytes."""
     import public_tokenizers
 
     return segment(spark, docs, public_tokenizers.path("piece_bpe_32k.model"))

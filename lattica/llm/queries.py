@@ -83,7 +83,7 @@ def op9_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .segmentation import segment
 
     out = segment(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", "n_pieces", "scores", "ids_crc32", "exact")
+    return out.select("doc_id", "n_pieces", "scores", "ids_crc32", "decodes", "exact")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ segments with the smallest losses only). Segments met before come from a bounded
 cache of the Python worker.
 
 The forward pass also keeps the second best score of each prefix, so only the
-segments that can matter to a text's list are searched.
+segments that can matter to a text's list are searched. Each of a text's N paths
+is the best one with other paths in some of these segments, and is returned with
+its ids, their checksum and whether they decode to the text.
 
 Scores are the model's own, if they are log probabilities. A model of merges has
 merge ranks instead; they are read as Zipf frequencies, -log(2 + rank). Sums are
@@ -98,7 +100,7 @@ class Segmenter:
         self.v = vocabulary
         self.known: dict[str, tuple[int, tuple[int, ...], int]] = {}
         self.older: dict[str, tuple[int, tuple[int, ...], int]] = {}
-        self.listed: dict[tuple[str, int], list[int]] = {}
+        self.listed: dict[tuple[str, int], list[tuple[int, tuple[int, ...]]]] = {}
         body = vocabulary.joined - {MARK}
         table = [b""] * len(vocabulary.pieces)
         for p, (i, _) in vocabulary.score.items():
@@ -163,11 +165,12 @@ class Segmenter:
         ids.reverse()
         return first[size], tuple(ids), first[size] - second[size]
 
-    def paths(self, text: str, n: int) -> list[int]:
-        """Scores of the n best paths of one segment, best first."""
+    def paths(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The n best (score, ids) of one segment, best first; of equal ones Viterbi's leads."""
         found = self.listed.get((text, n))
         if found is None:
-            found = [x for x, _ in self.search(text, n)]
+            first = self.best(text)[:2]
+            found = [first, *[x for x in self.search(text, n) if x[1] != first[1]]][:n]
             if len(text) <= 64:
                 if len(self.listed) >= CACHE_SEGMENTS // 4:
                     self.listed.clear()
@@ -218,25 +221,39 @@ class Segmenter:
             out += self.cut.findall(part.replace(" ", MARK))
         return out
 
-    def encode(self, text: str, n: int) -> tuple[list[int], list[float]]:
-        """(ids of the best path, scores of the n best paths)."""
+    def n_best(self, text: str, n: int) -> list[tuple[float, np.ndarray]]:
+        """The n best (score, ids) of a text, best first."""
         total, ids = 0, []
-        losses: list[tuple[int, str]] = []
+        losses: list[tuple[int, int, str]] = []
         for segment in self.segments(text):
             if segment is None:
                 total += self.v.unknown
                 ids += [self.v.byte_ids[b] for b in MARK.encode()]
                 continue
             score, path, loss = self.known.get(segment) or self.best(segment)
+            if loss < 1 << 60:
+                losses.append((loss, len(ids), segment))
             total += score
             ids += path
-            if loss < 1 << 60:
-                losses.append((loss, segment))
-        sums = [0]
-        for _, segment in heapq.nsmallest(n - 1, losses):
-            best = self.paths(segment, n)
-            sums = heapq.nsmallest(n, [a + best[0] - s for a in sums for s in best])
-        return ids, [(total - s) / UNIT for s in sums]
+        best = np.array(ids, np.int32)
+        listed: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+        kept: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]  # loss, and (first id, rank) of each segment's other path
+        for _, at, segment in heapq.nsmallest(n - 1, losses):
+            listed[at] = found = self.paths(segment, n)
+            kept = heapq.nsmallest(n, [(a + found[0][0] - s, (*other, (at, k)) if k else other) for a, other in kept for k, (s, _) in enumerate(found)])
+        out = []
+        for loss, other in kept:
+            parts, end = [], 0
+            for at, k in sorted(other):
+                parts += [best[end:at], np.array(listed[at][k][1], np.int32)]
+                end = at + len(listed[at][0][1])
+            out.append(((total - loss) / UNIT, np.concatenate([*parts, best[end:]]) if parts else best))
+        return out
+
+    def encode(self, text: str, n: int) -> tuple[np.ndarray, list[float]]:
+        """(ids of the best path, scores of the n best paths)."""
+        found = self.n_best(text, n)
+        return found[0][1], [score for score, _ in found]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The exact bytes that the ids spell, without the blank put before the text."""
@@ -257,7 +274,7 @@ def segmenter(vocabulary: Pieces) -> Segmenter:
 
 
 def segment(spark: SparkSession, docs: DataFrame, model: str, n: int = 3) -> DataFrame:
-    """doc_id, ids, n_pieces, scores (n best), ids_crc32 and exact (decodes to the same bytes)."""
+    """doc_id, n_pieces (of the best) and, for each of the n best, ids, scores, ids_crc32 and decodes (to the same bytes); exact if all do."""
     shared = spark.sparkContext.broadcast(Pieces.read(model))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,24 +282,30 @@ def segment(spark: SparkSession, docs: DataFrame, model: str, n: int = 3) -> Dat
         for batch in batches:
             lo = 0
             while lo < batch.num_rows:  # a bounded number of ids at a time
-                hi, held, ids, scores, crc, exact = lo, 0, [], [], [], []
+                hi, held, ids, ranks, scores, crc, decodes = lo, 0, [], [], [], [], []
                 while hi < batch.num_rows and held < 1 << 20:
                     text = batch.column(1)[hi].as_py() or ""
-                    found, best = tool.encode(text, n)
-                    found = np.array(found, np.int32)
-                    ids.append(found)
-                    scores.append(best)
-                    crc.append(zlib.crc32(found.astype("<i4").tobytes()))
-                    exact.append(tool.decode(found) == text.encode())
-                    held += len(found)
+                    raw = text.encode()
+                    found = tool.n_best(text, n)
+                    ranks.append(len(found))
+                    for score, path in found:
+                        ids.append(path)
+                        scores.append(score)
+                        crc.append(zlib.crc32(path.astype("<i4").tobytes()))
+                        decodes.append(tool.decode(path) == raw)
+                        held += len(path)
                     hi += 1
                 size = np.array([len(x) for x in ids])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.concatenate(ids)))
+                paths = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.concatenate(ids)))
+                row_at = np.append(0, np.cumsum(ranks))
+                lists = [pa.ListArray.from_arrays(pa.array(row_at.astype(np.int32)), x) for x in (paths, pa.array(scores), pa.array(crc, pa.int64()), pa.array(decodes))]
+                exact = np.logical_and.reduceat(decodes, row_at[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), lists, pa.array(size.astype(np.int64)), pa.array(scores, pa.list_(pa.float64())), pa.array(crc, pa.int64()), pa.array(exact)],
-                    names=["doc_id", "ids", "n_pieces", "scores", "ids_crc32", "exact"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(size[row_at[:-1]].astype(np.int64)), *lists, pa.array(exact)],
+                    names=["doc_id", "n_pieces", "ids", "scores", "ids_crc32", "decodes", "exact"],
                 )
                 lo = hi
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, scores array<double>, ids_crc32 long, exact boolean")
+    schema = "doc_id long, n_pieces long, ids array<array<int>>, scores array<double>, ids_crc32 array<long>, decodes array<boolean>, exact boolean"
+    return rows.mapInArrow(run, schema)
