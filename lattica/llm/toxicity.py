@@ -128,7 +128,7 @@ def _wording(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     return [c for c, k in cores.most_common() if k >= 4]
 
 
-def _windows(texts: list[str], most: int) -> list[bytes]:
+def _windows(texts: list[str], most: int | None) -> list[bytes]:
     out = []
     for t in texts:
         b = t.encode().lower()
@@ -136,23 +136,31 @@ def _windows(texts: list[str], most: int) -> list[bytes]:
     return [w for w in out if w]
 
 
-def fit(sample: list[tuple[str, int]]) -> Model:
-    """Train the dictionaries on two thirds of the sample and the curve on the rest."""
+def _trained(most: int, windows: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(most, windows).as_bytes()[-most:]
+    except zstandard.ZstdError:  # too little text to train on
+        return b"".join(windows)[:most]
+
+
+def fit(sample: list[tuple[str, int]], trained: int = 0) -> Model:
+    """Train the dictionaries on two thirds of the sample and the curve on the rest.
+
+    With ``trained`` bytes the toxic part is a dictionary that zstandard trains on
+    all windows of whole toxic texts, instead of counted strings.
+    """
     if len({y for _, y in sample}) < 2:
         return Model(b"", b" ", None, float(np.mean([y for _, y in sample])) if sample else 0.0)
     by = {y: [t for t, k in sample if k == y] for y in (0, 1)}
     learn = {y: ts[: max(1, 2 * len(ts) // 3)] for y, ts in by.items()}
     check = {y: ts[len(learn[y]) :] or learn[y] for y, ts in by.items()}
-    wording = _wording(learn[1], learn[0])
-    toxic = b""
+    wording = [] if trained else _wording(learn[1], learn[0])
+    toxic = _trained(trained, _windows(learn[1], None)) if trained else b""
     for core in wording:
         if len(toxic) + len(core) <= TOXIC_BYTES:
             toxic = core + toxic
     windows = _windows(learn[0], 20)
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, windows).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on
-        ordinary = b"".join(windows)[:ORDINARY_BYTES] or b" "
+    ordinary = _trained(ORDINARY_BYTES, windows) or b" "
     hard: list[bytes] = []
     probe = _windows(learn[0][:1000], 200)
     for _ in range(3 if probe else 0):
