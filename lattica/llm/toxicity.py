@@ -21,7 +21,9 @@ than ``doc_id`` and ``text`` are never read.
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +44,8 @@ GRAMS, PURE = (5, 7, 9), 0.75
 #: Bounds of the training sample (documents) and of the dictionaries' parts (bytes).
 MOST_TOXIC, MOST_ORDINARY = 1500, 3000
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 1024
+#: Bounds of the windows, by hash over whole texts: a dictionary learns from, hard negatives are sought in, and a round of these takes up.
+MOST_WINDOWS, MOST_PROBES, MOST_HARD = 100_000, 200_000, 2000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -128,12 +132,16 @@ def _wording(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     return [c for c, k in cores.most_common() if k >= 4]
 
 
-def _windows(texts: list[str], most: int | None) -> list[bytes]:
-    out = []
-    for t in texts:
-        b = t.encode().lower()
-        out += [b[i : i + WINDOW] for i in range(0, max(1, len(b) - (WINDOW - STRIDE)), STRIDE)][:most]
-    return [w for w in out if w]
+def _windows(texts: list[str], most: int) -> list[bytes]:
+    """At most so many windows of whole texts, those with the smallest hashes; in the order of their hashes."""
+
+    def every() -> Iterator[bytes]:
+        for t in texts:
+            b = t.encode().lower()
+            for i in range(0, max(1, len(b) - (WINDOW - STRIDE)) if b else 0, STRIDE):
+                yield b[i : i + WINDOW]
+
+    return heapq.nsmallest(most, every(), key=zlib.crc32)
 
 
 def _trained(most: int, windows: list[bytes]) -> bytes:
@@ -155,14 +163,13 @@ def fit(sample: list[tuple[str, int]], trained: int = 0) -> Model:
     learn = {y: ts[: max(1, 2 * len(ts) // 3)] for y, ts in by.items()}
     check = {y: ts[len(learn[y]) :] or learn[y] for y, ts in by.items()}
     wording = [] if trained else _wording(learn[1], learn[0])
-    toxic = _trained(trained, _windows(learn[1], None)) if trained else b""
+    toxic = _trained(trained, _windows(learn[1], MOST_WINDOWS)) if trained else b""
     for core in wording:
         if len(toxic) + len(core) <= TOXIC_BYTES:
             toxic = core + toxic
-    windows = _windows(learn[0], 20)
-    ordinary = _trained(ORDINARY_BYTES, windows) or b" "
+    probe = _windows(learn[0], MOST_PROBES)
+    ordinary = _trained(ORDINARY_BYTES, probe[:MOST_WINDOWS]) or b" "
     hard: list[bytes] = []
-    probe = _windows(learn[0][:1000], 200)
     for _ in range(3 if probe else 0):
         tools = Model(toxic, b"".join(hard) + ordinary, None).tools()
         at = np.concatenate([[0], np.cumsum([len(w) for w in probe])]).astype(np.uint64)
@@ -170,7 +177,7 @@ def fit(sample: list[tuple[str, int]], trained: int = 0) -> Model:
         body = zstandard.BufferWithSegments(b"".join(probe), spans)
         cost = [np.fromiter(map(len, t.multi_compress_to_buffer(body, threads=1)), np.int64, len(probe)) for t in tools]
         found = len(hard)
-        for i in np.flatnonzero(cost[1] - cost[0] >= 2)[:2000]:
+        for i in np.flatnonzero(cost[1] - cost[0] >= 2)[:MOST_HARD]:
             for core in wording:
                 for n in range(len(core) - 1, 3, -1):
                     parts = [core[a : a + n] for a in range(len(core) - n + 1) if core[a : a + n] in probe[i]]

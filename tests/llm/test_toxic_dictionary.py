@@ -10,3 +10,9 @@ def test_trained_dictionary_holds_phrases():
     sample = [(t, 0) for t in plain] + [(t, 1) for t in toxic]
     assert b"go back home now" in fit(sample, trained=1024).toxic
     assert b"go back home now" not in fit(sample).toxic  # counted strings are parts of single words
+
+
+def test_ordinary_windows_come_from_whole_texts():
+    sample = [(f"opening words {i} " + "".join(f"filler{i * k} " for k in range(300)) + "a closing passage of the whole text", 0) for i in range(60)]
+    sample += [("vile wording " * 5, 1)] * 30
+    assert b"closing passage" in fit(sample).ordinary
