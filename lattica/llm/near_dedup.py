@@ -7,7 +7,8 @@ Two signatures within ``RADIUS`` differing symbols have, by the pigeonhole
 principle, at least one of ``CHUNKS`` chunks with at most one error, so each
 chunk is indexed once for every symbol left out: all pairs within the radius
 share a key, whatever the erroneous symbol holds. At similarity 0.85 a pair lies
-beyond the radius with a probability of about 2e-6, less for anything closer.
+beyond the radius with a probability of about 2e-6, at 0.80 of about 2.8e-4, less
+for anything closer. Thresholds below ``LEAST_PERCENT`` would lose more and are refused.
 
 A key that many rows share never expands into all its pairs:
 
@@ -47,6 +48,8 @@ from .words import mix, text_array, words
 CHUNKS, CHUNK = 12, 5
 SYMBOLS = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
+#: The lowest threshold that this radius covers.
+LEAST_PERCENT = 80
 PACKED = [f"s{i}" for i in range(-(-SYMBOLS // 8))]
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, (SYMBOLS, 2), dtype=np.uint64)
 
@@ -286,6 +289,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"signatures cover thresholds of {LEAST_PERCENT} percent or more, not {percent}")
     scratch = Scratch(spark, "near-dedup")
     signed = scratch.table("signed", signatures(docs, width))
     usable = signed.filter("doc_id is not null and n_shingles > 0")
