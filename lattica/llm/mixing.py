@@ -22,6 +22,7 @@ empty table gives an empty result; the documents' other columns are not read.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -185,15 +186,24 @@ def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, total: fl
     return pulls, target, reached
 
 
+def residual(target: np.ndarray, reached: np.ndarray) -> float:
+    """Largest distance of a domain from its target, as a share of all; a warning if the steps ended before it was small."""
+    left = float(np.abs(target - reached).max() / target.sum()) if target.sum() else 0.0
+    if left > TOLERANCE:
+        warnings.warn(f"the mix is {left:.2g} of its tokens off target after {STEPS} steps", stacklevel=3)
+    return left
+
+
 def mix(
     spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | str = "same"
 ) -> DataFrame:
-    """doc_id, domain (likeliest), tokens, posterior, rate and copies of every document."""
+    """doc_id, domain (likeliest), tokens, posterior, rate and copies of every document, and the residual of the whole mix."""
     names = sorted(targets)
     scratch = Scratch(spark, "mixing")
     shared = spark.sparkContext.broadcast(learn(docs, labelled, names))  # BINS x domains numbers
     table = scored(docs, shared, names, scratch)
-    pulls, *_ = fit_rates(table, names, np.array([targets[n] for n in names], float), total, 0.0)
+    pulls, target, reached = fit_rates(table, names, np.array([targets[n] for n in names], float), total, 0.0)
+    left = residual(target, reached)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +215,7 @@ def mix(
             )
 
     out = table.mapInArrow(run, "doc_id long, domain string, tokens long, posterior array<double>, rate double")
-    return out.withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
+    return out.withColumn("copies", copies(F.col("doc_id"), F.col("rate"))).withColumn("residual", F.lit(left))
 
 
 def copies(doc_id: Column, rate: Column) -> Column:
@@ -226,7 +236,8 @@ def resample(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets:
     shared = spark.sparkContext.broadcast(learn(docs, labelled, names))
     scratch = Scratch(spark, "mixing")
     table = scored(docs, shared, names, scratch)
-    pulls, *_ = fit_rates(table, names, np.array([targets[n] for n in names], float), total, least)
+    pulls, target, reached = fit_rates(table, names, np.array([targets[n] for n in names], float), total, least)
+    residual(target, reached)
     scratch.drop("scored")
     at = docs.columns.index("text")
 
