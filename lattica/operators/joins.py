@@ -2,13 +2,17 @@
 
 An equality lookup is one left join with the foreign rows gathered by key; a
 lookup whose result is unwound at once is a plain join and gathers nothing. A
-correlated sub-pipeline runs once for all rows: input rows get a number, the
-sub-pipeline's leading match becomes the join condition, and its other stages
-run within each number.
+correlated sub-pipeline runs once for each distinct set of values that tie it to
+the input: its leading match becomes the join condition, its other stages run
+within each set, and the input is joined back on the values themselves. No row
+is identified by a number drawn while the plan runs, since Spark runs the input
+on both sides of that join; where the two runs could differ (limits, samples,
+sums of doubles), the input is written once first.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
@@ -22,6 +26,62 @@ from .accumulators import Order, orderable
 from .rows import set_fields
 
 
+#: Nodes of a plan that may give other rows when it runs again.
+_UNSTABLE = re.compile(r"\b(GlobalLimit|LocalLimit|Offset|Tail|Sample|rand|randn|uuid|shuffle|monotonically_increasing_id|spark_partition_id|MapInArrow|MapInPandas)\b")
+_SUMMED = re.compile(r"\b(Aggregate|Window)\b")
+
+
+def _holds(t: T.DataType, *kinds: type) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_holds(f.dataType, *kinds) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return _holds(t.elementType, *kinds)
+    if isinstance(t, T.MapType):
+        return _holds(t.keyType, *kinds) or _holds(t.valueType, *kinds) or T.MapType in kinds
+    return isinstance(t, kinds)
+
+
+def _settled(df: DataFrame, keys: list[Column], checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The input, written once if running it twice could give other values of the keys."""
+    probe = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    plan = probe._jdf.queryExecution().analyzed().toString()
+    floats = any(_holds(f.dataType, T.DoubleType, T.FloatType) for f in probe.schema.fields)
+    return checkpoint(df) if _UNSTABLE.search(plan) or floats and _SUMMED.search(plan) else df
+
+
+def _identity(parts: dict[str, Ex]) -> Column:
+    """One struct that stands for a row's values, comparable whatever their types."""
+    out = [(e.col if orderable(e.type) else F.to_json(F.struct(e.col.alias("v")))).alias(k) for k, e in parts.items()]
+    return F.struct(*out, F.lit(0).alias("z"))
+
+
+def _fresh(name: str, *frames: DataFrame) -> str:
+    while any(name in df.columns for df in frames):
+        name += "_"
+    return name
+
+
+def _uses_variables(node: Any) -> bool:
+    if isinstance(node, str):
+        return node.startswith("$$") and node[2:].split(".")[0] not in _SYSTEM
+    if isinstance(node, dict):
+        return any(_uses_variables(v) for k, v in node.items() if k != "$literal")
+    return isinstance(node, (list, tuple)) and any(map(_uses_variables, node))
+
+
+_SYSTEM = {"ROOT", "CURRENT", "NOW", "CLUSTER_TIME", "REMOVE", "PRUNE", "KEEP", "DESCEND", "USER_ROLES"}
+
+
+def _correlated(spec: dict[str, Any]) -> bool:
+    """Whether a match uses variables; only expressions can."""
+    for k, v in spec.items():
+        if k == "$expr" and _uses_variables(v):
+            return True
+        if k in ("$and", "$or", "$nor") and any(_correlated(x) for x in v):
+            return True
+    return False
+
+
 def _struct(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
@@ -36,8 +96,8 @@ def _gathered(t: T.DataType, col: Column) -> Column:
     return F.sort_array(rows) if orderable(t) else rows
 
 
-def lookup_equal(df: DataFrame, foreign: DataFrame, local: str, other: str, name: str) -> DataFrame:
-    """All foreign rows whose field equals the local one; null and missing equal each other."""
+def lookup_equal(df: DataFrame, foreign: DataFrame, local: str, other: str, name: str, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All foreign rows whose field equals the local one (an element of it, if it is an array); null and missing equal each other."""
     left, right = path(local, Ctx(df)), path(other, Ctx(foreign))
     doc = foreign.schema
     rows = foreign.select(right.col.alias("__k"), _struct(foreign).alias("__d"))
@@ -49,14 +109,16 @@ def lookup_equal(df: DataFrame, foreign: DataFrame, local: str, other: str, name
         key = left.col if left.kind != "null" else F.lit(None).cast(found.schema["__k"].dataType)
         joined = df.withColumn("__l", key).join(found, F.col("__l").eqNullSafe(F.col("__k")), "left")
         return set_fields(joined, {name: F.coalesce("__m", empty)}).drop("__k", "__l", "__m")
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    keys = numbered.select("__row", F.explode(F.array_distinct(left.col)).alias("__l"))
-    hits = keys.join(rows, F.col("__l").eqNullSafe(F.col("__k"))).select("__row", "__d")
+    df = _settled(df, [left.col], checkpoint)
+    row = _fresh("__row", df)
+    tied = df.withColumn(row, _identity({"l": left}))
+    keys = tied.select(row, left.col.alias("__a")).dropDuplicates([row])
+    hits = keys.select(row, F.explode(F.array_distinct("__a")).alias("__l")).join(rows, F.col("__l").eqNullSafe(F.col("__k"))).select(row, "__d")
     if orderable(doc):
         hits = hits.distinct()
-    found = hits.groupBy("__row").agg(_gathered(doc, F.col("__d")).alias("__m"))
-    joined = numbered.join(found, "__row", "left")
-    return set_fields(joined, {name: F.coalesce("__m", empty)}).drop("__row", "__m")
+    found = hits.groupBy(row).agg(_gathered(doc, F.col("__d")).alias("__m"))
+    joined = tied.join(found, row, "left")
+    return set_fields(joined, {name: F.coalesce("__m", empty)}).drop(row, "__m")
 
 
 def lookup_flat(df: DataFrame, foreign: DataFrame, local: str, other: str, name: str, keep: bool) -> DataFrame:
@@ -77,21 +139,30 @@ def lookup_exists(df: DataFrame, foreign: DataFrame, local: str, other: str, som
 
 
 def lookup_pipeline(
-    df: DataFrame, foreign: DataFrame | None, spec: dict[str, Any], run: Callable, filters: Callable, fetch: Callable[[list], DataFrame]
-) -> DataFrame:
-    """``run(df, stages, order, part, ctx)`` runs stages within a partition column and gives (df, order)."""
+    df: DataFrame, foreign: DataFrame | None, spec: dict[str, Any], ctx: Ctx, run: Callable, filters: Callable,
+    fetch: Callable[[list], DataFrame], checkpoint: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """``run(df, stages, order, part, ctx)`` runs stages within a partition column and gives (df, order).
+
+    Variables of an outer lookup (``ctx.vars``) are seen in the sub-pipeline as its own are.
+    """
     stages, name = list(spec["pipeline"]), spec["as"]
     if foreign is None:  # a literal source
         foreign = fetch(stages.pop(0)["$documents"])
-    ctx = Ctx(df)
-    given = {k: compile_expr(v, ctx) for k, v in (spec.get("let") or {}).items()}
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    keys = numbered.select("__row", *[e.col.alias(f"__let_{k}") for k, e in given.items()])
-    bound = {k: Ex(F.col(f"__let_{k}"), e.type, ctx) for k, e in given.items()}
+    outer = {k: e for k, e in ctx.vars.items() if f"$${k}" in str(stages)}
+    given = outer | {k: compile_expr(v, ctx) for k, v in (spec.get("let") or {}).items()}
+    ties = dict(given)
     if "localField" in spec:
-        local = path(spec["localField"], Ctx(df))
-        keys = numbered.select("__row", *[e.col.alias(f"__let_{k}") for k, e in given.items()], local.col.alias("__local"))
-    lead: list[Column] = []
+        ties["__local"] = path(spec["localField"], Ctx(df))
+    if ties:
+        df = _settled(df, [e.col for e in ties.values()], checkpoint)
+    row = _fresh("__row", df)
+    let = {k: _fresh(f"__let_{k}", df, foreign) for k in given}
+    tied = df.withColumn(row, _identity(ties))
+    local = [ties["__local"].col.alias("__local")] if "localField" in spec else []
+    keys = tied.select(row, *[e.col.alias(let[k]) for k, e in given.items()], *local).dropDuplicates([row])
+    bound = {k: Ex(F.col(let[k]), e.type, ctx) for k, e in given.items()}
+    lead: list[tuple[Column, bool]] = []
     while stages and "$match" in stages[0]:
         lead += _conjuncts(stages.pop(0)["$match"], Ctx(foreign, bound), filters)
     plain = [c for c, free in lead if not free]
@@ -103,21 +174,31 @@ def lookup_pipeline(
             on = c if on is None else on & c
     if "localField" in spec:
         other = path(spec["foreignField"], Ctx(foreign))
-        same = F.col("__local").eqNullSafe(other.col)
+        mine = Ex(F.col("__local"), ties["__local"].type, ctx)
+        same = _matches(mine, other)
         on = same if on is None else on & same
-    if on is not None or bound:
-        pairs = keys.join(foreign, on if on is not None else F.lit(True), "inner")
-        sub, order = run(pairs, stages, None, "__row", Ctx(pairs, bound))
-        sub = sub.select("__row", *[F.col(f"`{c}`") for c in sub.columns if not c.startswith("__")])
-    else:  # nothing ties it to the input row: one result for all
+    if on is None and not bound:  # nothing ties it to the input row: one result for all
         sub, order = run(foreign, stages, None, None, Ctx(foreign))
         whole = sub.agg(_ordered(sub, order).alias("__m"))
         return set_fields(df.crossJoin(F.broadcast(whole)), {name: F.col("__m")}).drop("__m")
-    names = [c for c in sub.columns if c != "__row"]
+    pairs = keys.join(foreign, on if on is not None else F.lit(True), "inner")
+    sub, order = run(pairs, stages, None, row, Ctx(pairs, bound))
+    names = [c for c in sub.columns if c != row and not c.startswith("__")]
+    sub = sub.select(row, *[F.col(f"`{c}`") for c in names])
     doc = T.StructType([sub.schema[c] for c in names])
-    found = sub.groupBy("__row").agg(_ordered(sub.select("__row", *names), order, names).alias("__m"))
-    joined = numbered.join(found, "__row", "left")
-    return set_fields(joined, {name: F.coalesce("__m", F.array().cast(T.ArrayType(doc)))}).drop("__row", "__m")
+    found = sub.groupBy(row).agg(_ordered(sub, order, names).alias("__m"))
+    joined = tied.join(found, row, "left")
+    return set_fields(joined, {name: F.coalesce("__m", F.array().cast(T.ArrayType(doc)))}).drop(row, "__m")
+
+
+def _matches(a: Ex, b: Ex) -> Column:
+    """Equality of a lookup's two fields; an array stands for its elements."""
+    if _array(a) and _array(b):
+        return F.coalesce(F.arrays_overlap(a.col, b.col), F.lit(False))
+    if _array(a) or _array(b):
+        many, one = (a, b) if _array(a) else (b, a)
+        return F.coalesce(F.array_contains(many.col, one.col), F.lit(False))
+    return a.col.eqNullSafe(b.col)
 
 
 def _ordered(df: DataFrame, order: Order | None, names: list[str] | None = None) -> Column:
@@ -137,12 +218,12 @@ def _conjuncts(spec: dict[str, Any], ctx: Ctx, filters: Callable) -> list[tuple[
         elif k == "$expr" and isinstance(v, dict) and "$and" in v:
             for x in v["$and"]:
                 out += _conjuncts({"$expr": x}, ctx, filters)
-        elif k == "$expr" and isinstance(v, dict) and "$eq" in v and "$$" in str(v):
+        elif k == "$expr" and isinstance(v, dict) and "$eq" in v and _uses_variables(v):
             a, b = (compile_expr(x, ctx) for x in v["$eq"])
             same = a.kind == b.kind
             out.append((a.col.eqNullSafe(b.col) if same else filters({k: v}, ctx), True))
         else:
-            out.append((filters({k: v}, ctx), "$$" in str(v)))
+            out.append((filters({k: v}, ctx), _correlated({k: v})))
     return out
 
 
@@ -151,9 +232,9 @@ def union_with(df: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def graph_lookup(df: DataFrame, foreign: DataFrame, spec: dict[str, Any], filters: Callable, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Breadth-first search for all input rows at once: one join for each level.
+    """Breadth-first search from all distinct starts at once: one join for each level.
 
-    Pairs (input row, node) are reached at their least depth. Levels are cut with
+    Pairs (start, node) are reached at their least depth. Levels are cut with
     ``checkpoint``; the loop ends when a level finds no new pair.
     """
     name, key, link = spec["as"], spec["connectToField"], spec["connectFromField"]
@@ -161,10 +242,11 @@ def graph_lookup(df: DataFrame, foreign: DataFrame, spec: dict[str, Any], filter
     if spec.get("restrictSearchWithMatch"):
         foreign = foreign.filter(filters(spec["restrictSearchWithMatch"], Ctx(foreign)))
     fctx = Ctx(foreign)
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
     start = compile_expr(spec["startWith"], replace(Ctx(df)))
-    seeds = F.explode(start.col) if _array(start) else start.col
-    frontier = numbered.select("__row", seeds.alias("__v")).filter("__v is not null").distinct()
+    df = _settled(df, [start.col], checkpoint)
+    tied = df.withColumn("__row", _identity({"s": start}))
+    seeds = F.explode("__s") if _array(start) else F.col("__s")
+    frontier = tied.select("__row", start.col.alias("__s")).dropDuplicates(["__row"]).select("__row", seeds.alias("__v")).filter("__v is not null").distinct()
     identity = path("_id", fctx)
     if identity.kind == "null":
         identity = fctx.ex(F.xxhash64(F.to_json(_struct(foreign))))
@@ -195,7 +277,7 @@ def graph_lookup(df: DataFrame, foreign: DataFrame, spec: dict[str, Any], filter
         value = F.struct(*[value.getField(f).alias(f) for f in foreign.columns], F.col("__depth").alias(depth))
     rows = F.struct("__depth", "__node", value.alias("d"))
     found = reached.groupBy("__row").agg(F.array_sort(F.collect_list(rows), _by_depth).alias("__m"))
-    joined = numbered.join(found, "__row", "left")
+    joined = tied.join(found, "__row", "left")
     out = F.coalesce(F.transform("__m", lambda x: x["d"]), empty)
     return set_fields(joined, {name: out}).drop("__row", "__m")
 

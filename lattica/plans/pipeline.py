@@ -8,6 +8,7 @@ module). Everything else is left to the optimizer.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -73,12 +74,14 @@ class Pipeline:
         return out
 
     def checkpoint(self, df: DataFrame) -> DataFrame:
-        """Cut a loop's lineage in the shared folder where there is one; small local runs keep the plan."""
+        """The rows written once to the folder that all executors share, without the plan that made them."""
         sc = self.spark.sparkContext
-        where = self.spark.conf.get("spark.checkpoint.dir", None)
         if sc.getCheckpointDir() is None:
+            where = self.spark.conf.get("spark.checkpoint.dir", None)
             if where is None:
-                return df.cache()
+                if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                    raise PipelineError("set spark.checkpoint.dir to a folder that all executors share")
+                where = tempfile.mkdtemp(prefix="lattica-")  # one process: its own folder will do
             sc.setCheckpointDir(where)
         return df.checkpoint()
 
@@ -286,9 +289,9 @@ def _facet(run, df, spec, order, part, ctx):
 @stage("$lookup")
 def _lookup(run, df, spec, order, part, ctx):
     if "pipeline" not in spec:
-        return joins.lookup_equal(df, run.get(spec["from"]), spec["localField"], spec["foreignField"], spec["as"]), order
+        return joins.lookup_equal(df, run.get(spec["from"]), spec["localField"], spec["foreignField"], spec["as"], run.checkpoint), order
     foreign = run.get(spec["from"]) if "from" in spec else None
-    return joins.lookup_pipeline(df, foreign, spec, run.fold, compile_filter, run.documents), order
+    return joins.lookup_pipeline(df, foreign, spec, ctx, run.fold, compile_filter, run.documents, run.checkpoint), order
 
 
 @stage("$graphLookup")
