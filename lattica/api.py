@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from typing import Any
 
@@ -14,6 +15,7 @@ from .operators import geo, rows, updates
 from .operators.accumulators import sort_keys
 from .plans.filters import _field, compile_filter, is_operators
 from .plans.pipeline import Pipeline
+from .sources import files
 from .sources.store import Store
 
 
@@ -135,7 +137,9 @@ class Database:
     """Commands over a store: each write reads a collection, transforms it and replaces it."""
 
     def __init__(self, spark: SparkSession, root: str, views: dict[str, tuple[str, list]] | None = None):
-        self.spark, self.store, self.views = spark, Store(spark, root), dict(views or {})
+        self.spark, self.store = spark, Store(spark, root)
+        kept = files.read_text(spark, f"{root}/.views.json")
+        self.views: dict[str, tuple[str, list]] = ({k: tuple(v) for k, v in json.loads(kept).items()} if kept else {}) | dict(views or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         depth, stages = 0, []
@@ -157,6 +161,11 @@ class Database:
         if at == name:
             raise ValueError("a view must not depend on itself")
         self.views[name] = (on, pipeline)
+        files.write_text(self.spark, f"{self.store.root}/.views.json", json.dumps(self.views, default=str))
+
+    def drop_view(self, name: str) -> None:
+        del self.views[name]
+        files.write_text(self.spark, f"{self.store.root}/.views.json", json.dumps(self.views, default=str))
 
     def insert(self, name: str, docs: list[dict[str, Any]] | DataFrame, ordered: bool = True, validator: dict[str, Any] | None = None) -> None:
         df = docs if isinstance(docs, DataFrame) else Pipeline(self.spark).documents(docs)
@@ -192,18 +201,35 @@ class Database:
             return before
         return find(self.store[name], {"_id": before["_id"]} if before is not None else filter, limit=1).first()
 
-    def bulk_write(self, name: str, operations: list[dict[str, Any]]) -> None:
-        """Operations applied in order; reads and writes the collection once."""
+    def bulk_write(self, name: str, operations: list[dict[str, Any]], ordered: bool = True) -> dict[str, Any]:
+        """Operations applied in order to one plan, which is written once; the counts and errors of all.
+
+        An insert whose ``_id`` is taken fails: ordered writes stop there and keep what
+        came before, unordered ones go on.
+        """
         df = self.store[name]
-        for op in operations:
+        out: dict[str, Any] = {"inserted": 0, "matched": 0, "deleted": 0, "upserted": 0, "errors": []}
+        for i, op in enumerate(operations):
             ((kind, spec),) = op.items()
             if kind in ("insertOne", "insert"):
-                df = df.unionByName(Pipeline(self.spark).documents([spec["document"]]), allowMissingColumns=True)
+                new = Pipeline(self.spark).documents([spec["document"]])
+                if "_id" in df.columns and "_id" in new.columns and not df.join(new, "_id", "left_semi").isEmpty():
+                    out["errors"].append({"index": i, "message": "duplicate key: _id"})
+                    if ordered:
+                        break
+                    continue
+                out["inserted"] += 1
+                df = df.unionByName(new, allowMissingColumns=True)
             elif kind in ("updateOne", "updateMany", "replaceOne", "update"):
                 change = spec.get("update", spec.get("replacement"))
+                hits = count(df, spec["filter"], limit=0 if kind == "updateMany" else 1)
+                out["matched"] += hits
+                out["upserted"] += int(not hits and spec.get("upsert", False))
                 df = updates.update(df, spec["filter"], change, multi=kind == "updateMany", upsert=spec.get("upsert", False))
             elif kind in ("deleteOne", "deleteMany", "delete"):
+                out["deleted"] += count(df, spec["filter"], limit=1 if kind == "deleteOne" else 0)
                 df = updates.delete(df, spec["filter"], 1 if kind == "deleteOne" else 0)
             else:
                 raise ValueError(f"unknown operation {kind}")
         self.store.save(name, df)
+        return out

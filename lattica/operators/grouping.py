@@ -119,7 +119,7 @@ _SERIES = {
     "R5": [10, 16, 25, 40, 63],
     "R10": [100, 125, 160, 200, 250, 315, 400, 500, 630, 800],
     "R20": [100, 112, 125, 140, 160, 180, 200, 224, 250, 280, 315, 355, 400, 450, 500, 560, 630, 710, 800, 900],
-    "R40": [100, 106, 112, 118, 125, 132, 140, 150, 160, 170, 180, 190, 200, 212, 224, 236, 250, 265, 280, 300, 315, 335, 355, 375, 400, 425, 450,
+    "R40": [100, 106, 112, 118, 125, 132, 140, 150, 160, 170, 180, 190, 200, 212, 224, 236, 250, 265, 280, 300, 315, 355, 375, 400, 425, 450,
             475, 500, 530, 560, 600, 630, 670, 710, 750, 800, 850, 900, 950],
     "R80": [103, 109, 115, 122, 128, 136, 145, 155, 165, 175, 185, 195, 206, 218, 230, 243, 258, 272, 290, 307, 325, 345, 365, 387, 412, 437, 462,
             487, 515, 545, 575, 615, 650, 690, 730, 775, 825, 875, 925, 975],
@@ -132,8 +132,6 @@ _SERIES = {
 
 def _series(name: str) -> list[float]:
     """One decade of a series, from 1 on."""
-    if name == "R80":
-        return sorted({x / 100 for x in _SERIES["R40"] + _SERIES["R80"]})
     if name in _SERIES:
         values = _SERIES[name]
         return [x / 10 ** int(math.log10(values[0])) for x in values]

@@ -239,15 +239,6 @@ _pipe("locf_events", "events", [
     SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v FROM events""")
 
 _pipe("densify_daily", "events", [
-    {"$match": {"event_type": "purchase", "user_id": {"$lt": 5}}}, {"$group": {"_id": {"u": "$user_id", "d": {"$dateTrunc": {"date": "$ts", "unit": "day"}}}, "n": {"$sum": 1}}},
-    {"$project": {"_id": 0, "u": "$_id.u", "d": "$_id.d", "n": 1}}, {"$densify": {"field": "d", "partitionByFields": ["u"], "range": {"step": 1, "unit": "day", "bounds": "full"}}},
-    {"$fill": {"output": {"n": {"value": 0}}}}, {"$project": {"u": 1, "n": 1, "d": {"$dateToString": {"date": "$d", "format": "%Y-%m-%d"}}}},
-], """
-    WITH g AS (SELECT user_id AS u, date_trunc('day', ts) AS d, count(*) AS n FROM events WHERE event_type = 'purchase' AND user_id < 5 GROUP BY 1, 2),
-    days AS (SELECT unnest(generate_series((SELECT min(d) FROM g)::TIMESTAMP, (SELECT max(d) FROM g)::TIMESTAMP, INTERVAL 1 DAY)) AS d)
-    SELECT u, strftime(days.d, '%Y-%m-%d') AS d, coalesce(n, 0) AS n FROM (SELECT DISTINCT u FROM g) CROSS JOIN days LEFT JOIN g USING (u, d)""")
-
-_pipe("densify_daily_all", "events", [
     {"$match": {"event_type": "purchase"}}, {"$group": {"_id": {"u": "$user_id", "d": {"$dateTrunc": {"date": "$ts", "unit": "day"}}}, "n": {"$sum": 1}}},
     {"$project": {"_id": 0, "u": "$_id.u", "d": "$_id.d", "n": 1}}, {"$densify": {"field": "d", "partitionByFields": ["u"], "range": {"step": 1, "unit": "day", "bounds": "full"}}},
     {"$fill": {"output": {"n": {"value": 0}}}}, {"$project": {"u": 1, "n": 1, "d": {"$dateToString": {"date": "$d", "format": "%Y-%m-%d"}}}},
@@ -310,11 +301,6 @@ _pipe("expr_objects_sets_types", "nation", [
            CAST(substr(n_name, 8, 2) AS INTEGER) AS i, n_regionkey IN (1, 3) AS in, 2 AS z FROM nation""")
 
 _pipe("unwind_index", "documents", [
-    {"$project": {"doc_id": 1, "lines": {"$slice": [{"$split": ["$text", "\n"]}, 3]}}}, {"$unwind": {"path": "$lines", "includeArrayIndex": "i"}}, {"$project": {"doc_id": 1, "i": 1, "n": {"$strLenCP": "$lines"}}},
-], """
-    SELECT doc_id, i - 1 AS i, CAST(length(l) AS INTEGER) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))[1:3]) AS l, generate_subscripts(string_split(text, chr(10))[1:3], 1) AS i FROM documents)""")
-
-_pipe("unwind_index_all", "documents", [
     {"$project": {"doc_id": 1, "lines": {"$split": ["$text", "\n"]}}}, {"$unwind": {"path": "$lines", "includeArrayIndex": "i"}}, {"$project": {"doc_id": 1, "i": 1, "n": {"$strLenCP": "$lines"}}},
 ], """
     SELECT doc_id, i - 1 AS i, CAST(length(l) AS INTEGER) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""")
@@ -394,19 +380,6 @@ def _merged(t: Tables) -> DataFrame:
 
 
 def _change_events(t: Tables) -> DataFrame:
-    doc = F.struct("c_name", "c_acctbal")
-    c = t["customer"]
-    ins = c.filter("c_custkey % 4 = 0").select(F.lit("i").alias("op"), F.lit(1).cast("long").alias("ts"), F.col("c_custkey").alias("_id"), doc.alias("o"))
-    upd = c.filter("c_custkey % 8 = 0").select(F.lit("u"), F.lit(2).cast("long"), F.col("c_custkey"), F.struct(F.lit(None).cast("string").alias("c_name"), (F.col("c_acctbal") + 5).alias("c_acctbal")))
-    rem = c.filter("c_custkey % 16 = 0").select(F.lit("d"), F.lit(3).cast("long"), F.col("c_custkey"), F.lit(None).cast(ins.schema["o"].dataType))
-    return ins.union(upd).union(rem)
-
-
-_add("cdc_apply", """
-    SELECT c_custkey AS _id, c_name, round(CASE WHEN c_custkey % 8 = 0 THEN c_acctbal + 5 ELSE c_acctbal END, 2) AS bal FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 16 <> 0""",
-    lambda t: apply_events(t["customer"].select(F.col("c_custkey").alias("_id"), "c_name", "c_acctbal").limit(0), _change_events(t)).select("_id", "c_name", F.round("c_acctbal", 2).alias("bal")))
-
-def _all_changes(t: Tables) -> DataFrame:
     """Every customer arrives again under a new id; every old row is updated, those in debt go, and builders among these come back."""
     c = t["customer"]
     doc = F.struct("c_name", "c_acctbal")
@@ -418,10 +391,10 @@ def _all_changes(t: Tables) -> DataFrame:
     return ins.union(upd).union(rem).union(event(debt.filter("c_mktsegment = 'BUILDING'"), "i", 4, key, doc))
 
 
-_add("cdc_apply_all", """
+_add("cdc_apply", """
     SELECT c_custkey AS _id, c_name, round(CASE WHEN c_acctbal < 0 THEN c_acctbal ELSE c_acctbal + 5 END, 2) AS bal FROM customer WHERE c_acctbal >= 0 OR c_mktsegment = 'BUILDING'
     UNION ALL SELECT -1 - c_custkey, c_name, round(c_acctbal, 2) FROM customer""",
-    lambda t: apply_events(t["customer"].select(F.col("c_custkey").alias("_id"), "c_name", "c_acctbal"), _all_changes(t)).select("_id", "c_name", F.round("c_acctbal", 2).alias("bal")))
+    lambda t: apply_events(t["customer"].select(F.col("c_custkey").alias("_id"), "c_name", "c_acctbal"), _change_events(t)).select("_id", "c_name", F.round("c_acctbal", 2).alias("bal")))
 
 _add("stream_windows", """
     SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS h, event_type, count(*) AS n FROM events GROUP BY 1, 2""",

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 #: How a merge treats rows that both sides changed: by field, by row, or one side wins.
 MODES = ("field", "row", "ours", "theirs")
 
@@ -167,27 +169,13 @@ class Repository:
 
     # the log
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def _load(self) -> dict[str, Any]:
-        fs, p = self._fs(self.log_path)
-        if not fs.exists(p):
-            return {"commits": {}, "branches": {"main": None}, "tags": {}, "head": "main"}
-        stream = fs.open(p)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        text = files.read_text(self.spark, self.log_path)
+        return json.loads(text) if text else {"commits": {}, "branches": {"main": None}, "tags": {}, "head": "main"}
 
     def _store(self) -> None:
-        fs, p = self._fs(self.log_path)
-        stream = fs.create(p, True)
-        try:
-            stream.write(bytearray(json.dumps(self.state, indent=1).encode()))
-        finally:
-            stream.close()
+        """The log is replaced whole, in one step."""
+        files.write_text(self.spark, self.log_path, json.dumps(self.state, indent=1))
 
     # revisions
 
@@ -332,6 +320,8 @@ class Repository:
 
     def merge(self, theirs: str, mode: str = "field", message: str = "", ff: bool = True, author: str = "") -> tuple[str | None, dict[str, DataFrame]]:
         """(new tip, conflicts by collection); with conflicts nothing is committed."""
+        if self.state.get("merging"):
+            raise VersionError("a merge is open: continue or abort it first")
         ours, other = self.resolve("HEAD"), self.resolve(theirs)
         base = self.merge_base(ours, other)
         if base == other:
@@ -339,9 +329,65 @@ class Repository:
         if base == ours and ff:
             self.reset(other)
             return other, {}
-        return self._apply(base, ours, other, mode, message or f"merge {theirs}", [ours, other], author)
+        done = self._apply(base, ours, other, mode, message or f"merge {theirs}", [ours, other], author)
+        if done[1]:  # kept in the log, so another session can go on with it
+            self.state["merging"] = {"base": base, "ours": ours, "theirs": other, "mode": mode, "message": message or f"merge {theirs}", "author": author}
+            self._store()
+        return done
+
+    def conflicts(self) -> dict[str, DataFrame]:
+        """Conflicts of the open merge by collection."""
+        m = self._merging()
+        return self._apply(m["base"], m["ours"], m["theirs"], m["mode"], m["message"], [])[1]
+
+    def _merging(self) -> dict[str, Any]:
+        if not self.state.get("merging"):
+            raise VersionError("no merge is open")
+        return self.state["merging"]
+
+    def merge_continue(self, take: str | dict[str, str | DataFrame]) -> str:
+        """Commit the open merge with every conflict settled: "ours", "theirs" or rows, for all collections or each."""
+        m = self._merging()
+        if self.resolve("HEAD") != m["ours"]:
+            raise VersionError("the branch has moved since the merge began")
+        tip, _ = self._apply(m["base"], m["ours"], m["theirs"], m["mode"], m["message"], [m["ours"], m["theirs"]], m["author"], take)
+        del self.state["merging"]
+        self._store()
+        return tip
+
+    def merge_abort(self) -> None:
+        """Forget the open merge; the branch is as it was."""
+        self._merging()
+        del self.state["merging"]
+        self._store()
+
+    def log_page(self, size: int, after: str | None = None, rev: str = "HEAD") -> tuple[list[dict[str, Any]], str | None]:
+        """(commits, where the next page goes on); a page stays the same while new commits arrive.
+
+        ``after`` is a token that the last page gave: it names where the walk began and how far it is.
+        """
+        tip, done = (after.split(":") if after else (self.resolve(rev), "0"))
+        walk = self.ancestors(tip)
+        page = walk[int(done) : int(done) + size]
+        infos = [{"commit": c, **{k: self.state["commits"][c][k] for k in ("parents", "message", "author", "time")}} for c in page]
+        end = int(done) + len(page)
+        return infos, f"{tip}:{end}" if end < len(walk) else None
+
+    def stat(self, rev: str = "HEAD") -> dict[str, dict[str, int]]:
+        """Rows added, removed and modified by a commit, for each collection that it touches."""
+        c = self.resolve(rev)
+        info = self.state["commits"][c]
+        parent = info["parents"][0] if info["parents"] else None
+        was = self.state["commits"][parent]["tables"] if parent else {}
+        out = {}
+        for name in sorted({*info["tables"], *was}):
+            if info["tables"].get(name) != was.get(name):
+                after = self._at(name, c, self._at(name, parent, None)) if name not in info["tables"] else self._at(name, c, None)
+                found = diff(self._at(name, parent, after), after).groupBy("change").count().collect()  # three rows at most
+                out[name] = {r["change"]: r["count"] for r in found}
+        return out
 
-    def _apply(self, base, ours, theirs, mode, message, parents, author=""):
+    def _apply(self, base, ours, theirs, mode, message, parents, author="", take=None):
         commits = self.state["commits"]
         done, open_ = {}, {}
         for name in sorted({*commits[ours]["tables"], *commits[theirs]["tables"]}):
@@ -351,7 +397,11 @@ class Repository:
             like = self.spark.read.parquet(paths[1] or paths[2])
             merged, conflicts = three_way(*(self._at(name, c, like) for c in (base, ours, theirs)), mode)
             if mode in ("field", "row") and not conflicts.isEmpty():
-                open_[name] = conflicts
+                how = take.get(name) if isinstance(take, dict) else take
+                if how is None:
+                    open_[name] = conflicts
+                else:
+                    merged = resolve(merged, conflicts, how)
             done[name] = merged
         if open_:
             return None, open_
@@ -395,8 +445,7 @@ class Repository:
         for c in gone:
             for path in self.state["commits"][c]["tables"].values():
                 if path not in used:
-                    fs, p = self._fs(path)
-                    fs.delete(p, True)
+                    files.remove(self.spark, path)
             del self.state["commits"][c]
         self._store()
         return gone

@@ -16,23 +16,48 @@ from pyspark.sql import functions as F
 from ..sources.store import Store
 
 
+def unpacked(events: DataFrame) -> DataFrame:
+    """Events with those of a transaction (a column ``ops`` of events) put in their places."""
+    if "ops" not in events.columns:
+        return events
+    inner = events.filter("ops is not null").select(F.col("ts").alias("__ts"), F.posexplode("ops").alias("__at", "__e"))
+    names = [c for c in events.columns if c not in ("ops", "ts")]
+    have = inner.schema["__e"].dataType.fieldNames()
+    each = inner.select(F.struct("__ts", "__at").alias("ts"), *[(F.col("__e").getField(c) if c in have else F.lit(None)).alias(c) for c in names])
+    plain = events.filter("ops is null").select(F.struct(F.col("ts").alias("__ts"), F.lit(-1).alias("__at")).alias("ts"), *[F.col(c) for c in names])
+    return plain.unionByName(each)
+
+
 def latest(events: DataFrame) -> DataFrame:
-    """One row for each _id: whether it is there in the end and its last known fields.
+    """One row for each _id: its last operation, whether it was made anew, and each field's last change.
 
-    Updates only carry changed fields (others are null), so each field takes the last
-    value after the last insert or delete.
+    Updates only carry changed fields (others are null) and may name removed ones in
+    ``unset``, so each field takes the last value after the last insert or delete; a
+    field is null here if nothing touched it, else a struct with its value ``v``.
     """
+    events = unpacked(events)
     fields = events.schema["o"].dataType.fieldNames()
     events = events.filter("op <> 'n'")
     w = Window.partitionBy("_id")
     reset = F.max(F.when(F.col("op") != "u", F.col("ts"))).over(w)
     live = events.withColumn("__reset", reset).filter("__reset is null or ts >= __reset")
-    out = [F.max_by(F.col("o").getField(f), F.when(F.col("o").getField(f).isNotNull() & (F.col("op") != "d"), F.col("ts"))).alias(f) for f in fields]
+    out = []
+    for f in fields:
+        value = F.col("o").getField(f)
+        touched = value.isNotNull()
+        if "unset" in events.columns:
+            touched = touched | F.coalesce(F.array_contains("unset", f), F.lit(False))
+        out.append(F.max_by(F.struct(value.alias("v")), F.when(touched & (F.col("op") != "d"), F.col("ts"))).alias(f))
     kind = F.max_by("op", "ts").alias("__last")
     fresh = F.max((F.col("op") == "i").cast("int")).alias("__fresh")
     return live.groupBy("_id").agg(kind, fresh, *out)
 
 
+def empty_target(events: DataFrame) -> DataFrame:
+    """A collection without rows, of the events' fields."""
+    return events.select("_id", "o.*").limit(0)
+
+
 def apply_events(target: DataFrame, events: DataFrame) -> DataFrame:
     """The target after the events; updates of rows that are not there are ignored."""
     last = latest(events)
@@ -48,26 +73,48 @@ def apply_events(target: DataFrame, events: DataFrame) -> DataFrame:
         if n == "_id":
             cols.append(F.coalesce(F.col("t._id"), F.col("s._id")).alias("_id"))
         elif n in fields:
-            cols.append(F.when(fresh, F.col(f"s.{n}")).otherwise(F.coalesce(F.col(f"s.{n}"), old)).alias(n))
+            new = F.col(f"s.`{n}`")
+            cols.append(F.when(fresh | new.isNotNull(), new.getField("v")).otherwise(old).alias(n))
         else:
             cols.append(F.when(fresh, F.lit(None)).otherwise(old).alias(n))
     return both.filter(keep).select(*cols)
 
 
-def apply_stream(events: DataFrame, store: Store, name: str, checkpoint: str, trigger: dict | None = None):
-    """Apply a stream of events to a stored collection, a batch at a time.
+def apply_stream(events: DataFrame, store: Store, name: str, checkpoint: str, trigger: dict | None = None, compact_every: int = 64):
+    """Apply a stream of events to a stored collection.
 
-    A batch that is delivered again after a failure gives the same collection.
+    A batch only writes its events beside the collection, under its own number, so
+    its cost does not grow with the collection and a batch delivered again replaces
+    itself. Readers apply what waits in the order of ``ts``, so a late event never
+    overwrites a newer state that waits too. Every ``compact_every`` batches what waits is
+    folded into the collection, after which older events than those count as new.
     """
 
-    def batch(df: DataFrame, _id: int) -> None:
-        target = store[name] if name in store else df.select("_id", "o.*").limit(0)
-        store.save(name, apply_events(target, df))
+    def batch(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{store.events_path(name)}/batch-{n:012d}")
+        if n % compact_every == compact_every - 1:
+            compact(store, name)
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def compact(store: Store, name: str) -> None:
+    """Fold the events that wait into the collection."""
+    if store.pending(name) is not None:
+        store.save(name, store[name])
+
+
+def initial_sync(store: Store, name: str, copy: DataFrame, events: DataFrame, since: int) -> None:
+    """Copy a collection, then catch up with the events from ``since``, the place in the order where the copy began.
+
+    Events that the copy has seen already are applied again without harm: the last state of each _id decides.
+    """
+    ts = F.col("ts.__ts") if "ops" in events.columns else F.col("ts")
+    late = unpacked(events).filter(ts >= since)
+    store.save(name, apply_events(copy, late))
+
+
 def follow(spark, path: str, schema, pipeline: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """New rows of a growing folder of Parquet, as a stream."""
     out = spark.readStream.schema(schema).parquet(path)
