@@ -133,6 +133,16 @@ def distinct(df: DataFrame, key: str, filter: dict[str, Any] | None = None) -> D
     return out.filter("value is not null").distinct().orderBy("value")
 
 
+def intersect(a: DataFrame, b: DataFrame, all: bool = False) -> DataFrame:
+    """Rows that both have; with ``all`` as often as the one that has them less often."""
+    return a.intersectAll(b) if all else a.intersect(b)
+
+
+def difference(a: DataFrame, b: DataFrame, all: bool = False) -> DataFrame:
+    """Rows of the first that the second has not; with ``all`` as often as the first has them more often."""
+    return a.exceptAll(b) if all else a.subtract(b)
+
+
 class Database:
     """Commands over a store: each write reads a collection, transforms it and replaces it."""
 

@@ -2,17 +2,15 @@
 
 Points are [x, y] arrays, {type, coordinates} documents or {x, y} documents.
 Containment and distances are plain arithmetic; polygons use ray casting over
-constant vertices. Shapes stored in rows (lines, polygons) are tested by a
-vectorised function on their JSON.
+constant vertices, and shapes stored in rows (lines, polygons) higher-order
+functions over their coordinates: all of it runs as built-in functions.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +53,8 @@ def _point(value: Any) -> tuple[float, float, bool]:
     return float(value[0]), float(value[1]), False
 
 
-def in_ring(x: Column, y: Column, ring: list) -> Column:
-    """Ray casting; a point on an edge is inside."""
+def in_ring(x: Column, y: Column, ring: list, closed: bool = True) -> Column:
+    """Ray casting; a point on an edge is inside if the ring is closed."""
     ring = [tuple(map(float, p)) for p in ring]
     if ring[0] == ring[-1]:
         ring = ring[:-1]
@@ -67,13 +65,13 @@ def in_ring(x: Column, y: Column, ring: list) -> Column:
         if ay != by:
             crosses = (F.lit(ay) > y) != (F.lit(by) > y)
             odd = odd != (crosses & (x < F.lit(bx - ax) * (y - F.lit(ay)) / F.lit(by - ay) + F.lit(ax)))
-    return F.coalesce(edge | odd, F.lit(False))
+    return F.coalesce(edge | odd if closed else odd & ~edge, F.lit(False))
 
 
 def _in_polygon(x: Column, y: Column, rings: list) -> Column:
     out = in_ring(x, y, rings[0])
     for hole in rings[1:]:
-        out = out & ~in_ring(x, y, hole)
+        out = out & ~in_ring(x, y, hole, closed=False)
     return out
 
 
@@ -163,7 +161,7 @@ def geo_near(df: DataFrame, spec: dict[str, Any], filters) -> DataFrame:
 
 
 def _parts(g: dict[str, Any]) -> tuple[list, list, list]:
-    """(points, segments, polygons) of a geometry."""
+    """(points, segments, polygons) of a constant geometry."""
     kind, c = g["type"], g.get("coordinates")
     if kind == "GeometryCollection":
         sets = [_parts(x) for x in g["geometries"]]
@@ -179,62 +177,97 @@ def _parts(g: dict[str, Any]) -> tuple[list, list, list]:
     return [], [(a, b) for p in polygons for r in p for a, b in zip(r, r[1:], strict=False)], polygons
 
 
-def _turn(a, b, c) -> float:
-    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+def _xy(p: Any) -> tuple[Column, Column]:
+    """The two numbers of a constant or a column point."""
+    if isinstance(p, Column):
+        return F.get(p, F.lit(0)).cast("double"), F.get(p, F.lit(1)).cast("double")
+    return F.lit(float(p[0])), F.lit(float(p[1]))
 
 
-def _on(a, b, p) -> bool:
-    return _turn(a, b, p) == 0 and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1])
+def _turn(a: Any, b: Any, c: Any) -> Column:
+    (ax, ay), (bx, by), (cx, cy) = _xy(a), _xy(b), _xy(c)
+    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
-def _cross(s, t) -> bool:
+def _on(a: Any, b: Any, p: Any) -> Column:
+    """Whether a point lies on a segment."""
+    (ax, ay), (bx, by), (x, y) = _xy(a), _xy(b), _xy(p)
+    return (_turn(a, b, p) == 0) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
+
+
+def _cross(s: tuple, t: tuple) -> Column:
     (a, b), (c, d) = s, t
-    if _on(a, b, c) or _on(a, b, d) or _on(c, d, a) or _on(c, d, b):
-        return True
-    return (_turn(a, b, c) > 0) != (_turn(a, b, d) > 0) and (_turn(c, d, a) > 0) != (_turn(c, d, b) > 0)
+    proper = ((_turn(a, b, c) > 0) != (_turn(a, b, d) > 0)) & ((_turn(c, d, a) > 0) != (_turn(c, d, b) > 0))
+    return _on(a, b, c) | _on(a, b, d) | _on(c, d, a) | _on(c, d, b) | proper
+
+
+def _any_of(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
 
+def _segments(line: Column) -> Column:
+    """The pairs of neighbours of an array of points."""
+    pairs = F.zip_with(F.slice(line, F.lit(1), F.size(line) - 1), F.slice(line, F.lit(2), F.size(line) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.when(F.size(line) > 1, pairs).otherwise(F.slice(pairs, 1, 0))
 
-def _inside(p, rings) -> bool:
-    def ring(r) -> bool:
-        odd = False
-        for a, b in zip(r, r[1:], strict=False):
-            if _on(a, b, p):
-                return True
-            if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0]:
-                odd = not odd
-        return odd
 
-    return ring(rings[0]) and not any(ring(h) for h in rings[1:])
+def _holds_point(ring: Column, p: Any, closed: bool) -> Column:
+    """Whether a ring of a row holds a point: ray casting over its segments."""
+    x, y = _xy(p)
 
+    def crossed(odd: Column, s: Column) -> Column:
+        (ax, ay), (bx, by) = _xy(s["a"]), _xy(s["b"])
+        hit = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.nullif(by - ay, F.lit(0.0)) + ax)
+        return odd != F.coalesce(hit, F.lit(False))
 
-def intersect(g: dict[str, Any], h: dict[str, Any]) -> bool:
-    (p1, s1, a1), (p2, s2, a2) = _parts(g), _parts(h)
-    if any(_cross(s, t) for s in s1 for t in s2):
-        return True
-    ends1 = p1 + [s[0] for s in s1]
-    ends2 = p2 + [s[0] for s in s2]
-    if any(_inside(p, a) for p in ends1 for a in a2) or any(_inside(p, a) for p in ends2 for a in a1):
-        return True
-    if any(_on(*s, p) for s in s2 for p in p1) or any(_on(*s, p) for s in s1 for p in p2):
-        return True
-    return any(list(p) == list(q) for p in p1 for q in p2)
+    segments = _segments(ring)
+    edge = F.exists(segments, lambda s: _on(s["a"], s["b"], p))
+    odd = F.aggregate(segments, F.lit(False), crossed)
+    return odd | edge if closed else odd & ~edge
+
+
+def _polygon_holds(rings: Column, p: Any) -> Column:
+    holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
+    return _holds_point(F.get(rings, F.lit(0)), p, True) & ~F.exists(holes, lambda h: _holds_point(h, p, False))
+
+
+def _depth(t: T.DataType) -> int:
+    return 1 + _depth(t.elementType) if isinstance(t, T.ArrayType) else 0
 
 
 def _intersects(e: Ex, shape: dict[str, Any]) -> Column:
+    """Built-in functions only: the constant shape's points, segments and polygons against those of each row."""
+    points, segments, polygons = _parts(shape)
     names = e.type.fieldNames() if isinstance(e.type, T.StructType) else []
-    if "coordinates" not in names or isinstance(e.type["coordinates"].dataType, T.ArrayType) and not isinstance(e.type["coordinates"].dataType.elementType, T.ArrayType):
-        x, y = xy(e)  # points
-        if shape["type"] in ("Polygon", "MultiPolygon"):
-            return F.coalesce(_within(x, y, {"$geometry": shape}), F.lit(False))
-
-    @F.pandas_udf("boolean")
-    def test(column: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return False
-            g = json.loads(text)
-            return intersect(g if isinstance(g, dict) and "type" in g else {"type": "Point", "coordinates": g}, shape)
-
-        return column.map(one)
-
-    return F.coalesce(test(F.to_json(e.col)), F.lit(False))
+    c, kind = (e.col.getField("coordinates"), e.col.getField("type")) if "coordinates" in names else (e.col, None)
+    depth = _depth(e.type["coordinates"].dataType) if kind is not None else 1
+    corners = points + [s[0] for s in segments]
+
+    def point(p: Any) -> Column:
+        """A point of a row against the shape."""
+        x, y = _xy(p)
+        same = [(x == _xy(q)[0]) & (y == _xy(q)[1]) for q in points]
+        return _any_of([_in_polygon(x, y, r) for r in polygons] + [_on(*s, p) for s in segments] + same)
+
+    def line(ps: Column) -> Column:
+        """A row's line against the shape."""
+        own = _segments(ps)
+        cross = F.exists(own, lambda s: _any_of([_cross((s["a"], s["b"]), t) for t in segments] + [_on(s["a"], s["b"], q) for q in points]))
+        return cross | F.exists(ps, point)
+
+    def polygon(rings: Column) -> Column:
+        return F.exists(rings, line) | _any_of([_polygon_holds(rings, q) for q in corners])
+
+    if depth == 0 or kind is None or depth == 1:
+        x, y = xy(e)
+        out = point(F.array(x, y))
+    elif depth == 2:
+        out = F.when(kind == "MultiPoint", F.exists(c, point)).otherwise(line(c))
+    elif depth == 3:
+        out = F.when(kind == "MultiLineString", F.exists(c, line)).otherwise(polygon(c))
+    else:
+        out = F.exists(c, polygon)
+    return F.coalesce(out, F.lit(False))

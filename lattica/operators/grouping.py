@@ -220,7 +220,15 @@ def densify(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
     return df.unionByName(new, allowMissingColumns=True)
 
 
-def sample(df: DataFrame, size: int) -> DataFrame:
-    return df.orderBy(F.rand()).limit(size)
+#: Largest number of rows that a task holds to pick the first ones of an order.
+MOST_HELD = 1 << 16
 
 
+def sample(df: DataFrame, size: int) -> DataFrame:
+    """So many rows at random: the first in a random order, or beyond what a task should hold a share and then as many of it."""
+    if size <= MOST_HELD:
+        return df.orderBy(F.rand()).limit(size)
+    total = df.count()
+    if size >= total:
+        return df
+    return df.filter(F.rand() < F.lit((size + 8 * math.sqrt(size)) / total)).limit(size)

@@ -73,8 +73,8 @@ class Pipeline:
             out = out.unionByName(p, allowMissingColumns=True)
         return out
 
-    def checkpoint(self, df: DataFrame) -> DataFrame:
-        """The rows written once to the folder that all executors share, without the plan that made them."""
+    def shared(self) -> str:
+        """The folder that the driver and all executors share, from ``spark.checkpoint.dir``."""
         sc = self.spark.sparkContext
         if sc.getCheckpointDir() is None:
             where = self.spark.conf.get("spark.checkpoint.dir", None)
@@ -83,6 +83,11 @@ class Pipeline:
                     raise PipelineError("set spark.checkpoint.dir to a folder that all executors share")
                 where = tempfile.mkdtemp(prefix="lattica-")  # one process: its own folder will do
             sc.setCheckpointDir(where)
+        return sc.getCheckpointDir()
+
+    def checkpoint(self, df: DataFrame) -> DataFrame:
+        """The rows written once to the shared folder, without the plan that made them."""
+        self.shared()
         return df.checkpoint()
 
     def run(self, df: DataFrame | None, spec: list[dict[str, Any]]) -> DataFrame:
@@ -257,6 +262,8 @@ def rows_orderable(df: DataFrame) -> bool:
 def _limit(run, df, spec, order, part, ctx):
     if not isinstance(spec, int) or spec < 1:
         raise PipelineError("$limit takes a positive integer")
+    if spec > grouping.MOST_HELD:  # a full sort instead of a heap of that size in every task
+        run.spark.conf.set("spark.sql.execution.topKSortFallbackThreshold", grouping.MOST_HELD)
     return (_limit_within(df, order, part, ctx, 0, spec) if part else df.limit(spec)), order
 
 

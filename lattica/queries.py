@@ -405,3 +405,5 @@ _add("stream_sessions", """
     s AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m)
     SELECT user_id, count(*) AS n FROM s GROUP BY user_id, s""",
     lambda t: sessions(t["events"], "ts", "12 hours", ["user_id"], n=F.count(F.lit(1))).select("user_id", "n"))
+
+from . import more_queries  # noqa: E402, F401  (registers its queries here)

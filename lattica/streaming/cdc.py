@@ -121,10 +121,16 @@ def follow(spark, path: str, schema, pipeline: Callable[[DataFrame], DataFrame]
     return pipeline(out) if pipeline else out
 
 
+def _watched(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """A stream with its watermark, which takes times with a zone only."""
+    if not late or not events.isStreaming:
+        return events
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def windowed(events: DataFrame, time: str, size: str, by: list[str], late: str | None = None, slide: str | None = None, **aggs: Column) -> DataFrame:
     """Tumbling or sliding windows, alike in batch and stream; ``late`` sets the watermark of a stream."""
-    if late and events.isStreaming:
-        events = events.withWatermark(time, late)
+    events = _watched(events, time, late)
     w = F.window(time, size, slide) if slide else F.window(time, size)
     out = events.groupBy(w.alias("w"), *by).agg(*[c.alias(n) for n, c in aggs.items()])
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, *aggs)
@@ -132,7 +138,6 @@ def windowed(events: DataFrame, time: str, size: str, by: list[str], late: str |
 
 def sessions(events: DataFrame, time: str, gap: str, by: list[str], late: str | None = None, **aggs: Column) -> DataFrame:
     """Session windows: runs of events no further apart than the gap."""
-    if late and events.isStreaming:
-        events = events.withWatermark(time, late)
+    events = _watched(events, time, late)
     out = events.groupBy(F.session_window(time, gap).alias("w"), *by).agg(*[c.alias(n) for n, c in aggs.items()])
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, *aggs)
