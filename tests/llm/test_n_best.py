@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from lattica.llm.segmentation import MARK, Segmenter, segment
+from lattica.llm.segmentation import MARK, Pieces, Segmenter, _merged, segment
 
 from test_ops import PIECES, toy
 
@@ -43,3 +43,63 @@ def test_every_rank_has_ids(spark, odd):
         assert len(r.ids) == len(r.scores) == len(r.ids_crc32) == len(r.decodes) and all(r.decodes) and r.exact
         assert len(r.ids) == (3 if len(text[r.doc_id].strip()) > 5 else len(r.ids)) and len(set(map(tuple, r.ids))) == len(r.ids)
         assert r.n_pieces == len(r.ids[0]) and [zlib.crc32(np.array(i, "<i4").tobytes()) for i in r.ids] == r.ids_crc32
+
+
+def test_first_path_is_the_library_s(spark):
+    """On whole texts of ``documents``, and on marks, rare characters and long words without blanks."""
+    import sentencepiece
+
+    tool = Segmenter(Pieces.read(PIECES))
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [r.text or "" for r in spark.read.parquet(f"/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice("aabcdeinrst \n\téß漢門語🙂.,-(") for _ in range(rng.randrange(1, 300))) for _ in range(300)]
+    texts += [" " * n + "the  end" + " " * n for n in range(40)] + ["ab" * 20_000, "the" * 5_000 + " and" * 5_000, "a" * 3_000, "\x00\x7f"]
+    want = library.encode(texts)
+    for lo in range(0, len(texts), 100):
+        for text, ids, found in zip(texts[lo : lo + 100], want[lo : lo + 100], tool.n_best_of(texts[lo : lo + 100], 3), strict=True):
+            assert found[0][1].tolist() == ids and tool.decode(found[0][1]) == text.encode()
+            assert len({tuple(path.tolist()) for _, path in found}) == len(found)
+
+
+def test_clashes_equal_encoding_the_pair():
+    vocab = Pieces.read(PIECES)
+    rng, m = np.random.default_rng(2), vocab.merges
+    ids = np.array([i for i, _ in vocab.score.values() if MARK not in vocab.pieces[i]])
+    a, b = rng.choice(ids, 4000), rng.choice(ids[:3000], 4000)
+    want = [_merged(vocab.pieces[x] + vocab.pieces[y], m.score)[0] != [vocab.pieces[x], vocab.pieces[y]] for x, y in zip(a, b, strict=True)]
+    assert m.clashes(a, b).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_paths_of_a_merge_model_equal_enumeration():
+    """Fewest clashes first, then the better scores; over all segmentations of short words."""
+    vocab = Pieces.read(PIECES)
+    tool, rng = Segmenter(vocab), random.Random(6)
+
+    def every(text):
+        if not text:
+            return [()]
+        return [(text[:j], *rest) for j in range(1, len(text) + 1) if text[:j] in vocab.score for rest in every(text[j:])]
+
+    def worth(parts):
+        clash = sum(_merged(x + y, vocab.merges.score)[0] != [x, y] for x, y in zip(parts, parts[1:]))
+        return sum(vocab.score[p][1] for p in parts) - (clash << 40)
+
+    for _ in range(60):
+        text = "".join(rng.choice("theinandort") for _ in range(rng.randrange(1, 9)))
+        known = sorted((worth(parts) for parts in every(MARK + text)), reverse=True)
+        for n in (1, 3, 6):
+            got = tool.n_best(text, n)
+            assert [round(s * 1e6) for s, _ in got] == known[:n] and len({tuple(p.tolist()) for _, p in got}) == len(got)
+            assert all(worth([vocab.pieces[i] for i in p]) == round(s * 1e6) for s, p in got)
+
+
+def test_results_do_not_depend_on_the_table(monkeypatch):
+    from lattica.llm import segmentation
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("etaoin") for _ in range(rng.randrange(1, 7))) for _ in range(20)) for _ in range(60)]
+    plain = [[(s, p.tolist()) for s, p in x] for x in Segmenter(Pieces.read(PIECES)).n_best_of(texts, 3)]
+    monkeypatch.setattr(segmentation, "TABLE_SEGMENTS", 50)
+    tool = Segmenter(Pieces.read(PIECES))
+    assert [[(s, p.tolist()) for s, p in tool.n_best(t, 3)] for t in texts] == plain
