@@ -1,13 +1,16 @@
 """Toxicity by compression distance: two zstandard dictionaries, compared window by window.
 
-The ordinary dictionary is trained by zstandard on windows of ordinary texts.
-The toxic one holds the same bytes behind what toxic texts alone repeat, so a
-window costs the same under both unless it holds toxic wording, and then fewer
-bytes under the toxic one. Strings that ordinary windows share with the toxic
-part are added to the ordinary part (rounds of hard negatives), which makes
-them as cheap there. A text's score is a logistic curve over its windows'
-savings (largest, number above the cuts, sum by length), fitted and calibrated
-on labelled texts that the dictionaries have not seen.
+Both dictionaries are trained by zstandard: the ordinary one on windows of
+ordinary texts, the toxic one on what toxic texts repeat and ordinary ones do
+not have, cut out of each toxic text (on whole toxic windows the trainer fills a
+dictionary with the ordinary wording that most of their bytes are; the README
+has the figures). The toxic side compresses with
+both, so a window costs the same under either unless it holds toxic wording, and
+then fewer bytes under the toxic one. Strings that ordinary windows share with
+the toxic wording are added to the ordinary part (rounds of hard negatives),
+which makes them as cheap there. A text's score is a logistic curve over its
+windows' savings (largest, number above the cuts, sum by length), fitted and
+calibrated on labelled texts that the dictionaries have not seen.
 
 Whole texts are compressed, in overlapping windows of fixed bytes. The fit uses
 a bounded sample of labelled rows outside the held-out fold.
@@ -44,9 +47,14 @@ GRAMS, PURE = (5, 7, 9), 0.75
 #: Bounds of the training sample (documents) and of the dictionaries' parts (bytes).
 MOST_TOXIC, MOST_ORDINARY = 1500, 3000
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 1024
+#: The trainer's segment and string sizes for the toxic dictionary.
+SEGMENT, MATCH = 16, 6
 #: Bounds of the windows, by hash over whole texts: a dictionary learns from, hard negatives are sought in, and a round of these takes up.
 MOST_WINDOWS, MOST_PROBES, MOST_HARD = 100_000, 200_000, 2000
+#: Fixed value: what ends a trained dictionary's tables, before its content.
+REPEATS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 @dataclass
@@ -144,29 +152,35 @@ def _windows(texts: list[str], most: int) -> list[bytes]:
     return heapq.nsmallest(most, every(), key=zlib.crc32)
 
 
-def _trained(most: int, windows: list[bytes]) -> bytes:
+def _repeated(texts: list[str], wording: list[bytes]) -> list[bytes]:
+    """The wording that each text holds, one after the other."""
+    if not wording:
+        return []
+    find = re.compile(b"|".join(re.escape(c) for c in sorted(wording, key=lambda c: (-len(c), c))))
+    out = []
+    for t in texts:
+        body = _BLANK.sub(b" ", b" " + t.encode().lower() + b" ")
+        out.append(b"".join(m[0] for m in find.finditer(body)))
+    return [s for s in out if len(s) >= 8]  # the trainer takes no shorter ones
+
+
+def _trained(most: int, samples: list[bytes], **how: int) -> bytes:
     try:
-        return zstandard.train_dictionary(most, windows).as_bytes()[-most:]
+        made = zstandard.train_dictionary(most, samples, **how).as_bytes()
+        return made[made.index(REPEATS) + len(REPEATS) :]
     except zstandard.ZstdError:  # too little text to train on
-        return b"".join(windows)[:most]
-
+        return b"".join(dict.fromkeys(samples))[:most]
 
-def fit(sample: list[tuple[str, int]], trained: int = 0) -> Model:
-    """Train the dictionaries on two thirds of the sample and the curve on the rest.
 
-    With ``trained`` bytes the toxic part is a dictionary that zstandard trains on
-    all windows of whole toxic texts, instead of counted strings.
-    """
+def fit(sample: list[tuple[str, int]]) -> Model:
+    """Train the dictionaries on two thirds of the sample and the curve on the rest."""
     if len({y for _, y in sample}) < 2:
         return Model(b"", b" ", None, float(np.mean([y for _, y in sample])) if sample else 0.0)
     by = {y: [t for t, k in sample if k == y] for y in (0, 1)}
     learn = {y: ts[: max(1, 2 * len(ts) // 3)] for y, ts in by.items()}
     check = {y: ts[len(learn[y]) :] or learn[y] for y, ts in by.items()}
-    wording = [] if trained else _wording(learn[1], learn[0])
-    toxic = _trained(trained, _windows(learn[1], MOST_WINDOWS)) if trained else b""
-    for core in wording:
-        if len(toxic) + len(core) <= TOXIC_BYTES:
-            toxic = core + toxic
+    wording = _wording(learn[1], learn[0])
+    toxic = _trained(TOXIC_BYTES, _repeated(learn[1], wording), k=SEGMENT, d=MATCH)
     probe = _windows(learn[0], MOST_PROBES)
     ordinary = _trained(ORDINARY_BYTES, probe[:MOST_WINDOWS]) or b" "
     hard: list[bytes] = []
@@ -197,7 +211,7 @@ def fit(sample: list[tuple[str, int]], trained: int = 0) -> Model:
     cuts = np.unique(np.round(z, 6))
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     worth = [np.mean(z[y > 0] >= c) - 2 * np.mean(z[y == 0] >= c) for c in cuts]
-    beta[-1] -= cuts[int(np.argmax(worth))]
+    beta[-1] -= cuts[int(np.flatnonzero(np.array(worth) == max(worth))[-1])]  # of equals the one with fewer alarms
     model.beta = beta
     return model
 
