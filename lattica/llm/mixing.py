@@ -8,7 +8,11 @@ Nonnegative rates, one for each document, are fitted by projected gradient on
 the squared distance of the domains' expected token totals from the targets.
 A step moves a document's rate by its posterior's product with the residual, so
 the residuals so far (a few numbers a step) determine all rates: every step is
-one distributed sum over the scored documents, and no rate is ever collected.
+one distributed sum over the scored documents, which tries several lengths of it,
+and no rate is ever collected. Every few steps the rates are written down, so a
+step's work does not grow with those before it. The steps end when the targets
+are met, when no step comes closer (targets that no rates meet), or at STEPS; a
+mix that is off target then says by how much.
 
 A rate r stands for floor(r) copies and one more with probability r - floor(r),
 drawn by a hash of the id.
@@ -38,7 +42,12 @@ from .words import slices, text_array, words
 BINS = 1 << 13
 #: Bound of the training sample, for each domain.
 MOST = 400
-STEPS, TOLERANCE = 60, 1e-7
+#: Lengths of the steps that one pass tries, and after how many steps the rates are written down.
+LENGTHS, RENEW = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0), 16
+#: A mix is met within this share of all tokens; rates stand still where a step gains less than the second share of the squared distance.
+TOLERANCE, STILL = 1e-7, 1e-5
+#: Steps taken at most; what is then left is returned and warned of.
+STEPS = 60
 
 
 def _bins(data: np.ndarray) -> np.ndarray:
@@ -100,9 +109,9 @@ def fit(sample: list[tuple[str, int]], n: int) -> Domains:
     return m
 
 
-def _rates(p: np.ndarray, pulls: np.ndarray, least: float) -> np.ndarray:
-    """Rates after the steps so far, from 1: r = max(least, r + p . pull) for each."""
-    r = np.ones(len(p))
+def _rates(p: np.ndarray, start: np.ndarray, pulls: np.ndarray, least: float) -> np.ndarray:
+    """Rates after some steps: r = max(least, r + p . pull) for each."""
+    r = start
     for pull in pulls:
         r = np.maximum(least, r + p @ pull)
     return r
@@ -136,37 +145,61 @@ def scored(docs: DataFrame, shared, names: list[str], scratch: Scratch) -> DataF
             for w in words(body):
                 count[w.lo : w.hi] = np.bincount(w.row, minlength=w.hi - w.lo)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), len(names)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), lists], names=["doc_id", "tokens", "posterior"])
+            ones = pa.array(np.ones(len(body)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), lists, ones], names=["doc_id", "tokens", "posterior", "rate"])
 
-    return scratch.table("scored", texts.mapInArrow(run, "doc_id long, tokens long, posterior array<double>"))
+    return scratch.table("scored", texts.mapInArrow(run, "doc_id long, tokens long, posterior array<double>, rate double"))
 
 
-def _sums(table: DataFrame, pulls: np.ndarray, d: int, least: float) -> np.ndarray:
-    """Expected tokens of each domain at the current rates."""
+def _sums(table: DataFrame, pulls: np.ndarray, pull: np.ndarray, d: int, least: float) -> tuple[np.ndarray, float]:
+    """(expected tokens of each domain after a step of each length, share of the tokens that the shortest one moves)."""
+    n = len(LENGTHS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(d)
+        total, moved = np.zeros((n, d)), np.zeros(2)
         for batch in batches:
             p = batch.column(1).flatten().to_numpy().reshape(-1, d)
-            total += (batch.column(0).to_numpy() * _rates(p, pulls, least)) @ p
-        yield pa.RecordBatch.from_pydict({"d": np.arange(d), "v": total})
+            tokens, was = batch.column(0).to_numpy(), _rates(p, batch.column(2).to_numpy(), pulls, least)
+            way = p @ pull
+            for k, length in enumerate(LENGTHS):
+                rate = np.maximum(least, was + length * way)
+                total[k] += (tokens * rate) @ p
+                if not k:
+                    moved += [tokens @ np.abs(rate - was), tokens.sum()]
+        yield pa.RecordBatch.from_pydict({"k": np.arange(n * d + 2), "v": np.append(total.ravel(), moved)})
 
-    parts = table.select("tokens", "posterior").mapInArrow(run, "d long, v double")
-    out = np.zeros(d)
-    for row in parts.groupBy("d").agg(F.sum("v").alias("v")).collect():  # one row for each domain
-        out[row.d] = row.v
-    return out
+    parts = table.select("tokens", "posterior", "rate").mapInArrow(run, "k long, v double")
+    out = np.zeros(n * d + 2)
+    for row in parts.groupBy("k").agg(F.sum("v").alias("v")).collect():  # one row for each domain and length
+        out[row.k] = row.v
+    return out[: n * d].reshape(n, d), out[-2] / out[-1] if out[-1] else 0.0
 
 
-def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, total: float | str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(steps, targets, totals reached); ``total`` tokens, "same" as now, or "grow" so that no domain shrinks.
+def _renewed(table: DataFrame, pulls: np.ndarray, d: int, least: float, scratch: Scratch, name: str) -> DataFrame:
+    """The table with the rates after the steps so far, so that these need not be taken again."""
 
-    No rate goes below ``least``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(batch.schema.get_field_index("posterior")).flatten().to_numpy().reshape(-1, d)
+            at = batch.schema.get_field_index("rate")
+            yield batch.set_column(at, "rate", pa.array(_rates(p, batch.column(at).to_numpy(), pulls, least)))
+
+    return scratch.table(name, table.mapInArrow(run, table.schema))
+
+
+def fit_rates(
+    table: DataFrame, names: list[str], weights: np.ndarray, total: float | str, least: float, scratch: Scratch
+) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """(table with rates, all steps, targets, totals reached); ``total`` tokens, "same" as now, or "grow" so that no domain shrinks.
+
+    No rate goes below ``least``. A pass over the table takes a step of each of
+    LENGTHS and keeps the best.
     """
     d = len(names)
-    now = _sums(table, np.zeros((0, d)), d, least)
+    none = np.zeros(d)
+    now = _sums(table, np.zeros((0, d)), none, d, least)[0][0]
     if not now.sum():
-        return np.zeros((0, d)), now, now
+        return table, np.zeros((0, d)), now, now
     weights = weights / weights.sum()
     if total == "same":
         total = now.sum()
@@ -174,23 +207,31 @@ def fit_rates(table: DataFrame, names: list[str], weights: np.ndarray, total: fl
         total = (now / np.maximum(weights, 1e-12))[weights > 0].max()
     target = weights * float(total)
     scale = np.maximum(now, 1e-9 * now.sum())
-    pulls = np.zeros((0, d))
-    reached = now
-    for _ in range(STEPS):
-        residual = (target - reached) / scale
+    every, pulls, reached = np.zeros((0, d)), np.zeros((0, d)), now
+    for turn in range(STEPS):
         if np.abs(target - reached).max() <= TOLERANCE * target.sum():
             break
-        # the scaled problem's curvature is at most 1, so a step of 1 descends
-        pulls = np.vstack([pulls, residual])
-        reached = _sums(table, pulls, d, least)
-    return pulls, target, reached
+        # the scaled problem's curvature is at most 1, so a step of length 1 descends; longer ones may do better
+        pull = (target - reached) / scale
+        sums, moved = _sums(table, pulls, pull, d, least)
+        loss = ((target - sums) ** 2 / scale).sum(1)
+        best = int(loss.argmin())
+        if moved <= TOLERANCE or loss[best] >= ((target - reached) ** 2 / scale).sum() * (1 - STILL):
+            break
+        every, pulls = (np.vstack([x, LENGTHS[best] * pull]) for x in (every, pulls))
+        reached = sums[best]
+        if len(pulls) == RENEW:
+            table, pulls = _renewed(table, pulls, d, least, scratch, f"rated-{turn}"), pulls[:0]
+            if turn > RENEW:
+                scratch.drop(f"rated-{turn - RENEW}")
+    return _renewed(table, pulls, d, least, scratch, "rated"), every, target, reached
 
 
 def residual(target: np.ndarray, reached: np.ndarray) -> float:
-    """Largest distance of a domain from its target, as a share of all; a warning if the steps ended before it was small."""
+    """Largest distance of a domain from its target, as a share of all; a warning if the targets are not met."""
     left = float(np.abs(target - reached).max() / target.sum()) if target.sum() else 0.0
     if left > TOLERANCE:
-        warnings.warn(f"the mix is {left:.2g} of its tokens off target after {STEPS} steps", stacklevel=3)
+        warnings.warn(f"the mix is {left:.2g} of its tokens off target", stacklevel=3)
     return left
 
 
@@ -202,19 +243,11 @@ def mix(
     scratch = Scratch(spark, "mixing")
     shared = spark.sparkContext.broadcast(learn(docs, labelled, names))  # BINS x domains numbers
     table = scored(docs, shared, names, scratch)
-    pulls, target, reached = fit_rates(table, names, np.array([targets[n] for n in names], float), total, 0.0)
+    table, _, target, reached = fit_rates(table, names, np.array([targets[n] for n in names], float), total, 0.0, scratch)
     left = residual(target, reached)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(2).flatten().to_numpy().reshape(-1, len(names))
-            domain = pa.array([names[i] for i in p.argmax(1)], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), domain, batch.column(1), batch.column(2), pa.array(_rates(p, pulls, 0.0))],
-                names=["doc_id", "domain", "tokens", "posterior", "rate"],
-            )
-
-    out = table.mapInArrow(run, "doc_id long, domain string, tokens long, posterior array<double>, rate double")
+    likeliest = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    domain = F.get(F.array(*[F.lit(n) for n in names]), likeliest - 1)
+    out = table.select("doc_id", domain.alias("domain"), "tokens", "posterior", "rate")
     return out.withColumn("copies", copies(F.col("doc_id"), F.col("rate"))).withColumn("residual", F.lit(left))
 
 
@@ -236,15 +269,16 @@ def resample(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets:
     shared = spark.sparkContext.broadcast(learn(docs, labelled, names))
     scratch = Scratch(spark, "mixing")
     table = scored(docs, shared, names, scratch)
-    pulls, target, reached = fit_rates(table, names, np.array([targets[n] for n in names], float), total, least)
+    _, pulls, target, reached = fit_rates(table, names, np.array([targets[n] for n in names], float), total, least, scratch)
     residual(target, reached)
-    scratch.drop("scored")
+    scratch.drop("scored", "rated")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            rate = _rates(m.posterior(m.likelihood(text_array(batch.column(at)))), pulls, least)
+            p = m.posterior(m.likelihood(text_array(batch.column(at))))
+            rate = _rates(p, np.ones(len(p)), pulls, least)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "__rate"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())])
