@@ -34,6 +34,7 @@ component; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -268,7 +269,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.table(f"{name}-0", edges)
     seen = None
-    for turn in range(1, 100):
+    for turn in itertools.count(1):  # until nothing changes
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
