@@ -2,12 +2,13 @@
 
 A text's key is its 64-bit hash. A directory of hash prefixes is doubled until
 no bucket holds more keys than its capacity; only overfull buckets get another
-bit, so the directory follows the data. Keys seen once are settled from the
-index alone. Keys that several rows share form chains: their texts, and only
-theirs, are moved and compared byte for byte (grouping on the text itself, with
-partial aggregation, so a text that makes up a third of all rows leaves each
-map task as one row). The index is written to the shared folder in key order;
-every owner task holds a contiguous range of keys.
+bit, so the directory follows the data. Runs of neighbouring buckets with about
+equal numbers of keys go to one owner task each. Keys seen once are settled from
+the counts alone. Keys that several rows share form chains: their texts, and
+only theirs, are sent to the owner of their bucket, which compares them byte for
+byte. Before that, equal texts are added up within each map task and then within
+SALTS parts, so of a text that makes up a third of all rows the owner gets SALTS
+rows. The index is written to the shared folder, each owner's chains in key order.
 
 Results for odd inputs: a null text counts as empty; equal texts are equal
 bytes, nothing is normalised; among equal texts the largest ``doc_id`` stays;
@@ -19,14 +20,16 @@ than ``doc_id`` and ``text`` are never read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .filters import flagged, maybe_in
 from .scratch import Scratch
 
-#: Finest prefix the directory may reach: 2**12 cells bound its size.
+#: Bits beyond which no bucket is split: with a capacity of a thousandth of the keys its 2**12 cells are far below it.
 MAX_DEPTH = 12
+#: Parts that equal texts are added up in before they go to their owner.
+SALTS = 8
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -62,29 +65,36 @@ def directory(keys: DataFrame, capacity: int | None = None, max_depth: int = MAX
     )
 
 
+def owners(entries: DataFrame, tasks: int) -> DataFrame:
+    """The directory (at most 2**MAX_DEPTH rows) with the owner of each bucket: runs of buckets with about equal numbers of keys."""
+    buckets = entries.groupBy("depth", "bucket").agg(F.min("cell").alias("start"), F.max("keys").alias("keys"))
+    before = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    share = F.coalesce(F.sum("keys").over(before), F.lit(0)) / F.sum("keys").over(whole)
+    owned = buckets.select("depth", "bucket", F.floor(share * tasks).cast("int").alias("owner"))
+    return entries.join(F.broadcast(owned), ["depth", "bucket"])
+
+
 def build_index(spark: SparkSession, docs: DataFrame, scratch: Scratch, capacity: int | None = None) -> DataFrame:
-    """Classes of texts that more than one row has, as a table in key order.
+    """Classes of texts that more than one row has, in key order within each owner.
 
-    Columns: depth and bucket (directory entry), h and n (hash and bytes), sha,
-    keep_id (largest id) and group_size.
+    Columns: owner, depth and bucket (directory entry), h and n (hash and bytes),
+    sha, keep_id (largest id) and group_size.
     """
     keyed = _keyed(docs)
-    keys = scratch.table(
-        "keys", keyed.groupBy("h", "n").agg(F.count(F.lit(1)).alias("rows"))
-    )
-    entries = scratch.table("directory", directory(keys.select("h").distinct(), capacity))
+    keys = scratch.table("keys", keyed.groupBy("h", "n").agg(F.count(F.lit(1)).alias("rows")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = scratch.table("directory", owners(directory(keys.select("h").distinct(), capacity), tasks))
     chained = keys.filter("rows > 1").select("h")
-    suspects = maybe_in(keyed, F.col("h"), chained, F.col("h"))
-    chains = suspects.groupBy("h", "n", "text").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-    )
+    suspects = maybe_in(keyed, F.col("h"), chained, F.col("h")).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    largest, rows = F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    summed = suspects.groupBy("h", "n", "text", "salt").agg(largest, rows)
     cell = F.shiftrightunsigned("h", 64 - MAX_DEPTH).cast("int")
-    chains = chains.filter("group_size > 1").select(
-        cell.alias("cell"), "h", "n", F.sha2("text", 256).alias("sha"), "keep_id", "group_size"
-    )
-    index = chains.join(F.broadcast(entries.select("cell", "depth", "bucket")), "cell")
-    index = index.drop("cell").repartitionByRange("h").sortWithinPartitions("h", "n", "sha")
-    out = scratch.table("index", index)
+    sent = summed.withColumn("cell", cell).join(F.broadcast(entries.drop("keys")), "cell").drop("cell", "salt")
+    at_owner = sent.repartition(tasks, "owner")  # the grouping below needs no other exchange
+    chains = at_owner.groupBy("owner", "depth", "bucket", "h", "n", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    chains = chains.filter("group_size > 1").withColumn("sha", F.sha2("text", 256)).drop("text")
+    out = scratch.table("index", chains.sortWithinPartitions("owner", "h", "n", "sha"))
     scratch.drop("keys")
     return out
 
@@ -93,7 +103,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, capacity: int | None = Non
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     index = build_index(spark, docs, Scratch(spark, "exact-dedup"), capacity)
     rows = _keyed(docs).select("doc_id", "h", "n", F.sha2("text", 256).alias("sha"))
-    found = rows.join(index.drop("depth", "bucket"), ["h", "n", "sha"], "left")
+    found = rows.join(index.drop("owner", "depth", "bucket"), ["h", "n", "sha"], "left")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(

@@ -1,23 +1,25 @@
-"""A broadcast filter of fixed size for semi-joins that would otherwise move whole texts."""
+"""A broadcast filter of bounded size for semi-joins that would otherwise move whole texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 2**23 bits, 1 MB, whatever the input.
-BITS = 23
+#: Bits of the smallest and of the largest filter as powers of two: 1 MB and 128 MB.
+LEAST_BITS, MOST_BITS = 23, 30
 
 
 def flagged(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, name: str) -> DataFrame:
     """The rows with a boolean column: whether their 64-bit key may be among the wanted ones.
 
-    False is certain; True still needs an exact join. The filter has 2**BITS bits,
-    so it lets more through as the wanted keys grow, and is never larger.
+    False is certain; True still needs an exact join. The filter has at least eight bits
+    for each wanted row up to 2**MOST_BITS, which bounds what is broadcast; beyond that it
+    lets more through, for the exact join to settle.
     """
+    bits_wanted = min(MOST_BITS, max(LEAST_BITS, (8 * wanted.count()).bit_length()))
 
     def slot(k: Column) -> Column:
-        return F.pmod(F.xxhash64(k), F.lit(1 << BITS)) + 1
+        return F.pmod(F.xxhash64(k), F.lit(1 << bits_wanted)) + 1
 
     bits = (
         wanted.select(slot(wanted_key).alias("slot"))

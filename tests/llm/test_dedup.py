@@ -155,3 +155,37 @@ def test_directory_splits_only_overfull_buckets(spark):
     assert all(r["keys"] <= 64 or r.depth == 10 for r in rows)
     assert sum({(r.depth, r.bucket): r["keys"] for r in rows}.values()) == 1500
     assert len({r.depth for r in rows}) > 1
+
+
+def test_directory_decides_the_owners(spark):
+    """Runs of buckets, alike in keys, go to one owner; the chains follow the directory."""
+    from pyspark.sql import functions as F
+
+    from lattica.llm.exact_dedup import MAX_DEPTH, build_index, owners
+    from lattica.llm.scratch import Scratch
+
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2000).alias("text"))
+    entries = directory(docs.select(F.xxhash64("text").alias("h")).distinct(), capacity=50)
+    few, many = (owners(entries, n).select("cell", "owner", "keys", "depth", "bucket").orderBy("cell").collect() for n in (2, 8))
+    assert {r.owner for r in few} == {0, 1} and {r.owner for r in many} == set(range(8))
+    assert [r.owner for r in many] == sorted(r.owner for r in many)
+    load = {}
+    for r in {(r.owner, r.depth, r.bucket, r["keys"]) for r in many}:
+        load[r[0]] = load.get(r[0], 0) + r[3]
+    assert sum(load.values()) == 2000 and max(load.values()) <= 250 + 2 * 50
+    index = build_index(spark, docs, Scratch(spark, "test"), capacity=50).collect()
+    owner = {r.cell: r.owner for r in owners(entries, int(spark.conf.get("spark.sql.shuffle.partitions"))).collect()}
+    assert len(index) == 2000 and all(r.group_size == 3 and r.owner == owner[(r.h % 2**64) >> (64 - MAX_DEPTH)] for r in index)
+
+
+def test_colliding_keys_are_compared(spark, monkeypatch):
+    """Different texts with one hash and length chain up and are told apart by their bytes."""
+    from pyspark.sql import functions as F
+
+    from lattica.llm import exact_dedup as module
+
+    plain = module._keyed
+    monkeypatch.setattr(module, "_keyed", lambda docs: plain(docs).withColumn("h", F.lit(7).cast("long")))
+    rows = [(1, "ab"), (2, "ba"), (3, "ab"), (4, "cd"), (5, None), (6, "")]
+    got = module.exact_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got.collect()) == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1), (5, 6, 2), (6, 6, 2)]
