@@ -418,7 +418,7 @@ class Segmenter:
     def _best(self, at: int) -> np.ndarray:
         return self.paths_flat[self.paths_at[at] : self.paths_at[at] + self.lengths[at]]
 
-    def search(self, segments: list[str], n: int) -> list[list[tuple[int, np.ndarray]]]:
+    def search_of(self, segments: list[str], n: int) -> list[list[tuple[int, np.ndarray]]]:
         """The n best (score, ids) of each segment: forward Viterbi, backward A-star."""
         lat = self.lattice(segments)
         out = []
@@ -446,6 +446,9 @@ class Segmenter:
             out.append(found)
         return out
 
+    def search(self, segment: str, n: int) -> list[tuple[int, np.ndarray]]:
+        return self.search_of([segment], n)[0]
+
     def segments(self, text: str) -> list[str | None]:
         """The text cut into segments; a literal mark stands as None."""
         if not text:
@@ -481,7 +484,7 @@ class Segmenter:
             near.append(picked)
         wanted = sorted({flat[k] for picked in near for k in picked if (flat[k], n) not in self.listed})
         if wanted:
-            for s, found in zip(wanted, self.search(wanted, n), strict=True):
+            for s, found in zip(wanted, self.search_of(wanted, n), strict=True):
                 first = self._best(self.known[s])
                 score = int(self.scores[self.known[s]])
                 rest = [x for x in found if len(x[1]) != len(first) or (x[1] != first).any()]
