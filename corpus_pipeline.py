@@ -18,6 +18,11 @@ from lattica.llm.scratch import Scratch
 from lattica.llm.segmentation import segment
 
 
+def _quoted(name: str) -> str:
+    """A column's name as Spark reads it whole, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -35,7 +40,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate documents (five-word shingles, similarity 0.8 or more) the smallest id stays."""
     gone = near_dedup(spark, docs, width=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[docs[_quoted(name)] for name in docs.columns])
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
