@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.core import Ctx, Ex, path
+from .functions.core import Ctx, Ex, ExpressionError, path
 from .operators import geo, rows, updates
 from .operators.accumulators import sort_keys
 from .plans.filters import _field, compile_filter, is_operators
@@ -33,7 +33,9 @@ def find(
         if "$natural" in sort:
             out = out.orderBy(F.col("_id").asc() if sort["$natural"] > 0 else F.col("_id").desc())
         else:
-            keys = [(k, 1 if v > 0 else -1) for k, v in sort.items() if not isinstance(v, dict)]
+            if any(isinstance(v, dict) for v in sort.values()):
+                raise ExpressionError("a sort by $meta is not offered: texts have no score")
+            keys = [(k, 1 if v > 0 else -1) for k, v in sort.items()]
             if "_id" in df.columns and "_id" not in sort:
                 keys.append(("_id", 1))
             out = out.orderBy(*sort_keys(Ctx(out), keys))

@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.internal import InternalFunction
 
 from ..functions.arrays import rank_of
 from ..functions.core import Ctx, Ex, ExpressionError, as_date, compile_expr
@@ -68,6 +69,8 @@ def rank_struct(ctx: Ctx, order: Order) -> Column | None:
                 c = -F.unix_micros(as_date(e).col)
             elif e.kind == "bool":
                 c = ~c
+            elif isinstance(e.type, T.StringType):
+                c = _turned(c)
             else:
                 return None
             parts += [e.col.isNull().cast("int").alias(f"n{i}"), c.alias(f"k{i}")]
@@ -76,6 +79,11 @@ def rank_struct(ctx: Ctx, order: Order) -> Column | None:
     return F.struct(*parts) if parts else F.struct(F.lit(0).alias("k"))
 
 
+def _turned(text: Column) -> Column:
+    """A key that sorts texts downwards: every half byte is complemented, and an end mark beyond all of them puts longer texts first."""
+    return F.concat(F.translate(F.hex(F.encode(text, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
 def _floating(t: T.DataType) -> bool:
     return isinstance(t, (T.DoubleType, T.FloatType))
 
@@ -113,6 +121,20 @@ class Call:
 
         return F.transform(F.array_sort(self.over(F.collect_list(row)), cmp), lambda x: x["v"])
 
+    def ends(self, e: Ex, n: int, last: bool, order: Order | None = None) -> Column:
+        """The n first or last values in the order of rows, nulls kept.
+
+        A bounded queue for each group is all that a task holds, and what it
+        sends on; only orders or values that cannot be compared gather all rows.
+        """
+        order = default_order(self.ctx, order or self.order)
+        key = rank_struct(self.ctx, order)
+        if key is None or not orderable(e.type):
+            rows = self.listed(e.col, order)
+            return _last_n(rows, n) if last else F.slice(rows, 1, n)
+        rows = self.over(_top_k(F.struct(key.alias("o"), e.col.alias("v")), n, not last))
+        return F.transform(F.reverse(rows) if last else rows, lambda x: x["v"])
+
     def nth(self, value: Column, last: bool, order: Order | None = None) -> Column:
         order = default_order(self.ctx, order or self.order)
         key = rank_struct(self.ctx, order)
@@ -122,6 +144,11 @@ class Call:
         return self.over((F.max_by if last else F.min_by)(value, key))
 
 
+def _top_k(c: Column, n: int, least: bool) -> Column:
+    """The n least values upwards, or the n greatest downwards, by a queue of n."""
+    return InternalFunction.collect_top_k(c, n, least)
+
+
 def _by_key(x: Column, y: Column) -> Column:
     return F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)
 
@@ -244,19 +271,23 @@ def _last_n(rows: Column, n: int) -> Column:
 
 @accumulator("$firstN")
 def _first_n(c: Call) -> Column:
-    return F.slice(c.listed(c.ex(c.operand["input"]).col), 1, _number(c.operand["n"], c.ctx))
+    return c.ends(c.ex(c.operand["input"]), _number(c.operand["n"], c.ctx), False)
 
 
 @accumulator("$lastN")
 def _last_n_acc(c: Call) -> Column:
-    return _last_n(c.listed(c.ex(c.operand["input"]).col), _number(c.operand["n"], c.ctx))
+    return c.ends(c.ex(c.operand["input"]), _number(c.operand["n"], c.ctx), True)
 
 
 def _ranked(name, asc):
     @accumulator(name)
     def g(c: Call) -> Column:
-        values = c.over(F.collect_list(c.ex(c.operand["input"]).col))
-        return F.slice(F.sort_array(values, asc), 1, _number(c.operand["n"], c.ctx))
+        e, n = c.ex(c.operand["input"]), _number(c.operand["n"], c.ctx)
+        if not orderable(e.type):
+            raise ExpressionError(f"{name} takes values that can be compared")
+        parts = [(~F.isnan(e.col)).alias("n")] if _floating(e.type) else []  # NaN is the least number
+        rows = c.over(_top_k(F.when(e.col.isNotNull(), F.struct(*parts, e.col.alias("v"))), n, asc))
+        return F.transform(F.filter(rows, lambda x: x.isNotNull()), lambda x: x["v"])
 
 
 _ranked("$minN", True)
@@ -279,12 +310,12 @@ def _bottom(c: Call) -> Column:
 
 @accumulator("$topN")
 def _top_n(c: Call) -> Column:
-    return F.slice(c.listed(c.ex(c.operand["output"]).col, _order_of(c.operand["sortBy"])), 1, _number(c.operand["n"], c.ctx))
+    return c.ends(c.ex(c.operand["output"]), _number(c.operand["n"], c.ctx), False, _order_of(c.operand["sortBy"]))
 
 
 @accumulator("$bottomN")
 def _bottom_n(c: Call) -> Column:
-    return _last_n(c.listed(c.ex(c.operand["output"]).col, _order_of(c.operand["sortBy"])), _number(c.operand["n"], c.ctx))
+    return c.ends(c.ex(c.operand["output"]), _number(c.operand["n"], c.ctx), True, _order_of(c.operand["sortBy"]))
 
 
 def _percentiles(c: Call, node: Any, ps: list[float]) -> list[Column]:

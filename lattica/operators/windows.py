@@ -41,6 +41,11 @@ def set_window_fields(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
     whole = Window.partitionBy(part)
     keys = sort_keys(ctx, order)
     ordered = whole.orderBy(*keys) if keys else whole
+    steps: dict[str, str] = {}
+    for i, (name, step) in enumerate(_steps(spec["output"], ctx, order, ordered)):
+        df = df.withColumn(f"__step{i}", step)
+        steps[name] = f"__step{i}"
+    ctx = Ctx(df)
     out: dict[str, Column] = {}
     for name, node in spec["output"].items():
         node = dict(node)
@@ -49,13 +54,26 @@ def set_window_fields(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
         if op in _RANKING:
             if not order and op not in ("$covariancePop", "$covarianceSamp"):
                 raise ExpressionError(f"{op} requires sortBy")
-            out[name] = _ranking(op, operand, ctx, order, whole, ordered, frame)
+            out[name] = _ranking(op, operand, ctx, order, whole, ordered, frame, steps.get(name))
         else:
             w = _frame(frame, ctx, order, whole, ordered)
             out[name] = accumulate({op: operand}, ctx, order or None, lambda c, w=w: c.over(w))
     from .rows import set_fields
 
-    return set_fields(df, out).drop(part)
+    return set_fields(df, out).drop(part, *steps.values())
+
+
+def _steps(output: dict[str, Any], ctx: Ctx, order: Order, ordered) -> list[tuple[str, Column]]:
+    """For each ``$integral`` with a unit the trapezoid between a row and the one before, so that a frame is a sum."""
+    out = []
+    for name, node in output.items():
+        operand = node.get("$integral")
+        if not order or not isinstance(operand, dict) or operand.get("unit") is None:
+            continue
+        x = _number(compile_expr(f"${order[0][0]}", ctx)).cast("double") / MILLIS[operand["unit"]]
+        y = compile_expr(operand["input"], ctx).col.cast("double")
+        out.append((name, (x - F.lag(x).over(ordered)) * (y + F.lag(y).over(ordered)) / 2))
+    return out
 
 
 def _frame(frame: dict | None, ctx: Ctx, order: Order, whole, ordered):
@@ -68,6 +86,8 @@ def _frame(frame: dict | None, ctx: Ctx, order: Order, whole, ordered):
     if len(order) != 1:
         raise ExpressionError("a range window takes one sort key")
     e = compile_expr(f"${order[0][0]}", ctx)
+    if order[0][1] < 0:
+        raise ExpressionError("a range window takes an ascending sort key")
     scale = 1
     if e.kind == "date":
         if frame.get("unit") not in MILLIS:
@@ -76,7 +96,7 @@ def _frame(frame: dict | None, ctx: Ctx, order: Order, whole, ordered):
     return whole.orderBy(_number(e).asc()).rangeBetween(_bound(lo, True, scale), _bound(hi, False, scale))
 
 
-def _ranking(op: str, operand: Any, ctx: Ctx, order: Order, whole, ordered, frame) -> Column:
+def _ranking(op: str, operand: Any, ctx: Ctx, order: Order, whole, ordered, frame, step: str | None = None) -> Column:
     if op == "$documentNumber":
         return F.row_number().over(ordered)
     if op == "$rank":
@@ -129,9 +149,12 @@ def _ranking(op: str, operand: Any, ctx: Ctx, order: Order, whole, ordered, fram
     if unit is None:
         total, n = F.sum(y).over(w), F.count(F.lit(1)).over(w)
         return F.when(n > 1, total - (F.first(y).over(w) + F.last(y).over(w)) / 2).otherwise(F.lit(0.0))
-    rows = F.collect_list(F.struct(x.alias("x"), y.alias("y"))).over(w)
-    steps = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r, i: (r["x"] - F.get(rows, i)["x"]) * (r["y"] + F.get(rows, i)["y"]) / 2)
-    return F.aggregate(steps, F.lit(0.0), lambda a, s: a + s)
+    # the frame's first row ends a trapezoid that lies before the frame
+    area, n = F.col(step), F.count(F.lit(1)).over(w)
+    before = F.first(area).over(w)
+    whole_frame = F.count(area).over(w) - before.isNotNull().cast("int") == n - 1
+    total = F.coalesce(F.sum(area).over(w), F.lit(0.0)) - F.coalesce(before, F.lit(0.0))
+    return F.when(n < 2, F.lit(0.0)).when(whole_frame, total)
 
 
 def fill(df: DataFrame, spec: dict[str, Any]) -> DataFrame:

@@ -242,7 +242,9 @@ def _count(run, df, spec, order, part, ctx):
 
 @stage("$sort")
 def _sort(run, df, spec, order, part, ctx):
-    keys = [(k, 1 if v > 0 else -1) for k, v in spec.items() if not isinstance(v, dict)]
+    if any(isinstance(v, dict) for v in spec.values()):
+        raise PipelineError("$sort by $meta is not offered: texts have no score")
+    keys = [(k, 1 if v > 0 else -1) for k, v in spec.items()]
     if not keys:
         return df, order
     if len(keys) > 32:
