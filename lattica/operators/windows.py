@@ -45,6 +45,10 @@ def set_window_fields(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
     for i, (name, step) in enumerate(_steps(spec["output"], ctx, order, ordered)):
         df = df.withColumn(f"__step{i}", step)
         steps[name] = f"__step{i}"
+    for name, node in spec["output"].items():
+        if order and "$expMovingAvg" in node:
+            steps[name] = f"__step{len(steps)}"
+            df = _moving_average(df, node["$expMovingAvg"], order, part, steps[name])
     ctx = Ctx(df)
     out: dict[str, Column] = {}
     for name, node in spec["output"].items():
@@ -63,6 +67,34 @@ def set_window_fields(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
     return set_fields(df, out).drop(part, *steps.values())
 
 
+def _moving_average(df: DataFrame, operand: dict[str, Any], order: Order, part: str, to: str) -> DataFrame:
+    """Adds the exponential moving average of the rows that hold a number.
+
+    A row maps the average before it, y, to a * y + b. Maps compose, so a pass joins each
+    row's map to the one 1, 2, 4, ... rows before it; it ends when what lies further
+    back is weighted by zero in doubles, or is more rows than a partition can hold.
+    """
+    alpha = 2.0 / (operand["N"] + 1) if "N" in operand else float(operand["alpha"])
+    if not 0 < alpha <= 1:
+        raise ExpressionError("$expMovingAvg takes a positive N, or an alpha above 0 and at most 1")
+    ctx = Ctx(df)
+    e = compile_expr(operand["input"], ctx)
+    x = e.col.cast("double") if e.kind == "number" else F.lit(None).cast("double")
+    df = df.withColumn(to, x)
+    has = F.col(to).isNotNull()
+    df = df.withColumn("__at", F.row_number().over(Window.partitionBy(part, has).orderBy(*sort_keys(Ctx(df), order))))
+    rows = Window.partitionBy(part, has).orderBy("__at")
+    df = df.withColumn("__a", F.when(F.col("__at") == 1, 0.0).otherwise(1 - alpha))
+    df = df.withColumn("__b", F.when(F.col("__at") == 1, F.col(to)).otherwise(alpha * F.col(to)))
+    span = 1
+    while span < 2**31 and (1 - alpha) ** span > 0:
+        df = df.withColumns({"__p": F.lag("__a", span, 1.0).over(rows), "__q": F.lag("__b", span, 0.0).over(rows)})
+        joined = F.when(F.col("__a") == 0, F.col("__b")).otherwise(F.col("__b") + F.col("__a") * F.col("__q"))
+        df = df.withColumns({"__a": F.col("__a") * F.col("__p"), "__b": joined})
+        span *= 2
+    return df.withColumn(to, F.col("__b")).drop("__at", "__a", "__b", "__p", "__q")
+
+
 def _steps(output: dict[str, Any], ctx: Ctx, order: Order, ordered) -> list[tuple[str, Column]]:
     """For each ``$integral`` with a unit the trapezoid between a row and the one before, so that a frame is a sum."""
     out = []
@@ -125,12 +157,8 @@ def _ranking(op: str, operand: Any, ctx: Ctx, order: Order, whole, ordered, fram
         a, b = (compile_expr(x, ctx).col.cast("double") for x in operand)
         return (F.covar_pop if op == "$covariancePop" else F.covar_samp)(a, b).over(w)
     if op == "$expMovingAvg":
-        alpha = 2.0 / (operand["N"] + 1) if "N" in operand else float(operand["alpha"])
-        e = compile_expr(operand["input"], ctx)
-        value = e.col.cast("double") if e.kind == "number" else F.lit(None).cast("double")
-        seen = F.collect_list(value).over(running)  # nulls are left out: they carry the average on
-        head = F.get(seen, F.lit(0))
-        return F.aggregate(F.slice(seen, 2, F.greatest(F.size(seen) - 1, F.lit(0))), head, lambda a, x: x * alpha + a * (1 - alpha))
+        # rows without a number carry the average on
+        return F.coalesce(F.col(step), F.last(F.col(step), ignorenulls=True).over(running))
     e = compile_expr(operand["input"], ctx)
     y = e.col.cast("double")
     unit = operand.get("unit")

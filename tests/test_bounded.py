@@ -77,6 +77,20 @@ def test_integral_by_unit_is_the_sum_of_its_trapezoids(spark, frame):
             assert found[r[0]] == (want if want is None else pytest.approx(want, abs=1e-9))
 
 
+@pytest.mark.parametrize("how", [{"N": 3}, {"alpha": 0.01}, {"alpha": 0.9}, {"N": 1}])
+def test_moving_average_is_the_recursion(spark, how):
+    rnd = random.Random(4)
+    rows = [(i, "abc"[i % 3], None if rnd.random() < 0.3 or i % 3 == 2 else rnd.uniform(-9, 9)) for i in range(600)]
+    df = spark.createDataFrame(rows, "_id int, g string, x double").repartition(5)
+    got = api.aggregate(df, [{"$setWindowFields": {"partitionBy": "$g", "sortBy": {"_id": 1}, "output": {"e": {"$expMovingAvg": {"input": "$x"} | how}}}}])
+    assert got.columns == ["_id", "g", "x", "e"] and "collect_list" not in got._jdf.queryExecution().toString()
+    found, alpha, now = {r._id: r.e for r in got.collect()}, how.get("alpha") or 2 / (how["N"] + 1), {}
+    for i, g, x in rows:
+        if x is not None:
+            now[g] = x if g not in now else x * alpha + now[g] * (1 - alpha)
+        assert found[i] == (pytest.approx(now[g], abs=1e-9) if g in now else None)
+
+
 def test_sorts_and_ranges_that_are_not_offered_are_refused(spark):
     df = _frame(spark)
     with pytest.raises(Exception, match="meta"):
