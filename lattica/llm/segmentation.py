@@ -53,8 +53,8 @@ UNIT = 1_000_000
 #: What a clash costs, in millionths: more than pieces can make up for.
 CLASH = 1 << 40
 _NEVER = -(1 << 62)
-#: Distinct segments in a worker's table, and characters of texts worked on at a time.
-TABLE_SEGMENTS, SLICE_CHARS = 200_000, 1 << 20
+#: Distinct segments in a worker's table, characters of texts worked on at a time, and of new segments in a lattice.
+TABLE_SEGMENTS, SLICE_CHARS, LATTICE_CHARS = 200_000, 1 << 20, 1 << 15
 _worker: dict[str, "Segmenter"] = {}
 
 
@@ -224,8 +224,9 @@ def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 def _top_two(values: np.ndarray, others: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(largest, next largest, place of the largest) of each range; ``others`` are the runners-up behind each value."""
     top = np.maximum.reduceat(values, begin)
-    hits = np.flatnonzero(values == np.repeat(top, count))
-    where = hits[np.searchsorted(hits, begin)]
+    row = np.repeat(np.arange(len(count)), count)
+    hits = np.flatnonzero(values == top[row])
+    where = hits[np.flatnonzero(np.diff(row[hits], prepend=-1))]  # each range has a hit
     rest = values.copy()
     rest[where] = others[where]
     return top, np.maximum.reduceat(rest, begin), where
@@ -296,19 +297,17 @@ class Segmenter:
         both = np.flatnonzero((a >= 0) & (b >= 0))
         key = a[both] * len(self.v.pieces) + b[both]
         slot = (key * 0x9E3779B1 >> 7) & (len(self.clash_keys) - 1)
-        new = np.unique(key[self.clash_keys[slot] != key])
-        if len(new):
+        hit = self.clash_found[slot]
+        missed = np.flatnonzero(self.clash_keys[slot] != key)
+        if len(missed):
             n = len(self.v.pieces)
+            new, back = np.unique(key[missed], return_inverse=True)
             found = self.v.merges.clashes(new // n, new % n)
-            # slots that several keys share are not trusted: answers come from the sorted list of the new ones
-            at = np.minimum(np.searchsorted(new, key), len(new) - 1)
-            hit = np.where(new[at] == key, found[at], self.clash_found[slot])
+            hit[missed] = found[back]
             into = (new * 0x9E3779B1 >> 7) & (len(self.clash_keys) - 1)
             self.clash_keys[into], self.clash_found[into] = new, found
             last = self.clash_keys[into] == new  # of several new keys in a slot the one whose key stayed
             self.clash_found[into[last]] = found[last]
-        else:
-            hit = self.clash_found[slot]
         out[both] = np.where(hit, -CLASH, 0)
         return out
 
@@ -373,7 +372,20 @@ class Segmenter:
         return out.astype(np.int32), count
 
     def _learn(self, segments: list[str]) -> None:
-        """Add segments to the table: score, loss of the next best path and ids of the best."""
+        """Add segments, in order of length, to the table: score, loss of the next best path and ids of the best."""
+        ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
+        lo, found = 0, []
+        while lo < len(segments):  # lattices that stay in the processor's cache, one segment at least
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + LATTICE_CHARS, "right")))
+            found.append(self._best_paths(segments[lo:hi]))
+            lo = hi
+        scores, losses, lengths, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.paths_at = np.append(self.paths_at, len(self.paths_flat) + np.cumsum(lengths) - lengths)
+        self.paths_flat = np.append(self.paths_flat, ids)
+        self.scores, self.losses, self.lengths = np.append(self.scores, scores), np.append(self.losses, losses), np.append(self.lengths, lengths)
+
+    def _best_paths(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of segments: score, loss of the next best path, and number and ids of the best one's pieces."""
         lat = self.lattice(segments)
         stop = lat.bounds[1:]
         begin, count = lat.ends[stop], lat.ends[stop + 1] - lat.ends[stop]
@@ -392,11 +404,7 @@ class Segmenter:
         order = np.lexsort((-step, rows))
         ids, spelled = self._spelled(lat, edges[order])
         length = np.bincount(rows[order], weights=spelled, minlength=len(segments)).astype(np.int64)
-        self.paths_at = np.append(self.paths_at, len(self.paths_flat) + np.cumsum(length) - length)
-        self.paths_flat = np.append(self.paths_flat, ids)
-        self.scores = np.append(self.scores, top)
-        self.losses = np.append(self.losses, np.where(runner > _NEVER // 2, top - runner, -_NEVER))
-        self.lengths = np.append(self.lengths, length)
+        return top, np.where(runner > _NEVER // 2, top - runner, -_NEVER), length, ids
 
     def _index(self, segments: list[str | None]) -> np.ndarray:
         """Places in the table, after adding what is new."""
@@ -410,7 +418,7 @@ class Segmenter:
             self.lengths = np.append(self.lengths, len(MARK.encode()))
             self.known[None] = len(self.known)
         if new:
-            new = list(new)
+            new = sorted(new, key=len)
             self._learn(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         return np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))

@@ -103,3 +103,20 @@ def test_results_do_not_depend_on_the_table(monkeypatch):
     monkeypatch.setattr(segmentation, "TABLE_SEGMENTS", 50)
     tool = Segmenter(Pieces.read(PIECES))
     assert [[(s, p.tolist()) for s, p in tool.n_best(t, 3)] for t in texts] == plain
+
+
+def test_new_segments_are_learnt_in_bounded_lattices(monkeypatch):
+    """Many new words at once make several small lattices; only a single longer word exceeds the bound."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(4, 14))) for _ in range(9_000)] + ["the" * 15_000]
+    sizes, plain = [], Segmenter.lattice
+
+    def seen(self, segments):
+        sizes.append((len(segments), sum(map(len, segments))))
+        return plain(self, segments)
+
+    monkeypatch.setattr(Segmenter, "lattice", seen)
+    tool = Segmenter(Pieces.read(PIECES))
+    [found] = tool.n_best_of([" ".join(words)], 3)
+    assert len(found) == 3 and tool.decode(found[0][1]) == " ".join(words).encode()
+    assert sum(n for _, n in sizes) > 1 << 16 and all(n <= 1 << 15 or k == 1 for k, n in sizes)
