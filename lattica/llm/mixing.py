@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import tidy
 from .scratch import Scratch
 from .words import slices, text_array, words
 
@@ -148,7 +149,7 @@ def scored(docs: DataFrame, shared, names: list[str], scratch: Scratch) -> DataF
             ones = pa.array(np.ones(len(body)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), lists, ones], names=["doc_id", "tokens", "posterior", "rate"])
 
-    return scratch.table("scored", texts.mapInArrow(run, "doc_id long, tokens long, posterior array<double>, rate double"))
+    return scratch.table("scored", texts.mapInArrow(tidy(run), "doc_id long, tokens long, posterior array<double>, rate double"))
 
 
 def _sums(table: DataFrame, pulls: np.ndarray, pull: np.ndarray, d: int, least: float) -> tuple[np.ndarray, float]:
@@ -282,7 +283,7 @@ def resample(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "__rate"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())])
-    rated = docs.mapInArrow(run, schema)
+    rated = docs.mapInArrow(tidy(run), schema)
     times = F.sequence(F.lit(1), copies(F.col("doc_id").cast("long"), F.col("__rate")))
     some = rated.filter(copies(F.col("doc_id").cast("long"), F.col("__rate")) > 0)
     return some.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(times).alias("__copy")).drop("__copy")

@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .filters import maybe_in
+from .memory import tidy
 from .scratch import Scratch
 from .words import mix, text_array, words
 
@@ -115,7 +116,7 @@ def _sign(width: int):
 def signatures(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, n_shingles, two hashes of the word sequence and the packed signature."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _sign(width), _SIGNED_SQL
+        tidy(_sign(width)), _SIGNED_SQL
     )
 
 
@@ -254,7 +255,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scra
     some = scratch.table(f"{name}-texts", _texts_of(texts, wanted))
     both = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    links = both.select("a", "b", "x", "y").mapInArrow(_confirm(width, percent), "a long, b long")
+    links = both.select("a", "b", "x", "y").mapInArrow(tidy(_confirm(width, percent)), "a long, b long")
     out = scratch.table(f"{name}-links", links)
     scratch.drop(f"{name}-texts")
     return out
@@ -324,7 +325,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 3, percent: in
     )
     mixed = mixed.filter("lo < hi").select("a", "blocks")
     left = scratch.table("mixed", placed.join(mixed, "a"))
-    sets = _texts_of(texts, left.select("doc_id").distinct()).mapInArrow(_sets(width), "doc_id long, seq_a long, codes binary")
+    sets = _texts_of(texts, left.select("doc_id").distinct()).mapInArrow(tidy(_sets(width)), "doc_id long, seq_a long, codes binary")
     sets = scratch.table("sets", sets.dropDuplicates(["doc_id", "seq_a"]))
     split = left.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labels import held_out, logistic
+from .memory import tidy
 from .words import mix, text_array, words
 
 STATISTICS = [
@@ -38,6 +39,8 @@ STATISTICS = [
 ]
 #: Bound of the training sample, for each class.
 MOST = 6_000
+#: Bytes of text measured at once (a longer text alone, whole), and rows passed on at once.
+MEASURED_BYTES, PASSED_ROWS = 1 << 19, 1024
 _SCHEMA = ", ".join(f"{s} double" for s in STATISTICS)
 _KINDS = np.zeros((5, 256))
 _KINDS[0, [ord(c) for c in "!#$%&*@|~^+=<>{}[]\\/_"]] = 1
@@ -63,7 +66,7 @@ def _distinct(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np
 def statistics(texts: pa.Array) -> np.ndarray:
     """One row of transformed statistics for each text."""
     out = np.zeros((len(texts), len(STATISTICS)))
-    for w in words(texts):
+    for w in words(texts, MEASURED_BYTES):
         n = w.hi - w.lo
         size = np.diff(w.row_at)
         h = w.hashes()
@@ -195,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Discriminant:
     some = [known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(MOST) for y in (0, 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(some[0].union(some[1])), "doc_id")  # at most 2 * MOST ids of 16 bytes
-    found = rows.select("doc_id", "y", "text").mapInArrow(measure, "doc_id long, y int, " + _SCHEMA)
+    found = rows.select("doc_id", "y", "text").mapInArrow(tidy(measure), "doc_id long, y int, " + _SCHEMA)
     found = found.orderBy(order, "doc_id").limit(2 * MOST).collect()
     x = np.array([list(r)[2:] for r in found]).reshape(-1, len(STATISTICS))
     return fit(x, np.array([r.y for r in found]))
@@ -211,7 +214,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(score, "doc_id long, score double")
+    out = rows.mapInArrow(tidy(score), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -222,6 +225,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(statistics(text_array(batch.column(at)))) >= threshold))
+            for lo in range(0, batch.num_rows, PASSED_ROWS):
+                rows = batch.slice(lo, PASSED_ROWS)
+                yield rows.filter(pa.array(shared.value.score(statistics(text_array(rows.column(at)))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -11,7 +11,7 @@ no longer piece: the lattice falls apart there into segments, whose N best lists
 are combined exactly (the N best sums differ from the best one in the N - 1
 segments with the smallest losses only). The forward pass runs over all new
 segments of a slice of texts at once, as array operations from one character to
-the next; segments met before come from a bounded table of the Python worker.
+the next; segments met before come from a bounded table of the task.
 
 Scores are the model's own, if they are log probabilities. A model of merges has
 no path scores, only an order of merges: of its paths those come first in which
@@ -48,14 +48,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import tidy
+
 MARK = "▁"
 UNIT = 1_000_000
 #: What a clash costs, in millionths: more than pieces can make up for.
 CLASH = 1 << 40
 _NEVER = -(1 << 62)
-#: Distinct segments in a worker's table, characters of texts worked on at a time, and of new segments in a lattice.
+#: Distinct segments in a task's table, characters of texts worked on at a time, and of new segments in a lattice.
 TABLE_SEGMENTS, SLICE_CHARS, LATTICE_CHARS = 200_000, 1 << 20, 1 << 15
-_worker: dict[str, "Segmenter"] = {}
 
 
 @dataclass
@@ -534,20 +535,12 @@ class Segmenter:
         return self.flat[_ranges(self.begin[ids], size)].tobytes()[1:]
 
 
-def segmenter(vocabulary: Pieces) -> Segmenter:
-    """The worker's segmenter for this vocabulary, kept between tasks."""
-    if vocabulary.name not in _worker:
-        _worker.clear()
-        _worker[vocabulary.name] = Segmenter(vocabulary)
-    return _worker[vocabulary.name]
-
-
 def segment(spark: SparkSession, docs: DataFrame, model: str, n: int = 3) -> DataFrame:
     """doc_id, n_pieces (of the best) and, for each of the n best, ids, scores, ids_crc32 and decodes (to the same bytes); exact if all do."""
     shared = spark.sparkContext.broadcast(Pieces.read(model))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = segmenter(shared.value)
+        tool = Segmenter(shared.value)  # for this task only: its tables go with it
         for batch in batches:
             size = pa.compute.fill_null(pa.compute.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             lo = 0
@@ -576,4 +569,4 @@ def segment(spark: SparkSession, docs: DataFrame, model: str, n: int = 3) -> Dat
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_pieces long, ids array<array<int>>, scores array<double>, ids_crc32 array<long>, decodes array<boolean>, exact boolean"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
